@@ -1,0 +1,21 @@
+"""Small settings tables (weights, bands, thresholds) turned into expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from typing import Any
+
+from pyspark.sql import DataFrame
+
+MAX_SETTINGS = 1_000
+
+
+def setting_rows(settings: DataFrame | Sequence[Sequence[Any]], columns: Sequence[str]) -> list[tuple]:
+    """The rows of a settings table, given as a DataFrame or as Python tuples. More than MAX_SETTINGS is an error."""
+    if isinstance(settings, DataFrame):
+        rows = [tuple(r) for r in settings.select(*columns).take(MAX_SETTINGS + 1)]
+    else:
+        rows = [tuple(r) for r in settings]
+    if len(rows) > MAX_SETTINGS:
+        raise ValueError(f"a settings table holds at most {MAX_SETTINGS} rows")
+    return rows
