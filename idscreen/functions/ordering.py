@@ -89,7 +89,7 @@ def in_order(
     along = Window.partitionBy("_key").orderBy("_chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     everything = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")]
+    carried = [F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows_before")]
     for out in previous:
         carried.append(F.lag(f"_end_{out}").over(along).alias(f"_cp_{out}"))
     for out in following:
@@ -104,7 +104,7 @@ def in_order(
 
     result: dict[str, Column] = {}
     if number:
-        result[number] = (F.col("_number") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")
+        result[number] = (F.col("_number") + F.coalesce(F.col("_rows_before"), F.lit(0))).cast("bigint")
     for out, col in previous.items():
         result[out] = F.coalesce(f"_p_{out}", f"_cp_{out}")[col]
     for out, col in following.items():

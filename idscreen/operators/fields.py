@@ -50,7 +50,7 @@ def validate_check_digit(
 
 def validate_luhn(df: DataFrame, col: str) -> DataFrame:
     """Add `check_ok` for a Luhn number."""
-    return df.withColumn("check_ok", F.luhn_check(col))
+    return df.withColumn("check_ok", F.call_function("luhn_check", F.col(col)))
 
 
 def validate_order(df: DataFrame, earlier: str, later: str) -> DataFrame:

@@ -7,7 +7,7 @@ hyperplanes (`lsh`), which cost less and may miss pairs. Cosines are rounded to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,45 +110,78 @@ def _plane_cells(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataF
     return vectors.mapInPandas(place, f"_cell bigint, _home boolean, _id {id_type}, _vec array<double>")
 
 
+def _per_block(rows: DataFrame, compare: Callable[..., pd.DataFrame | None], schema: str) -> DataFrame:
+    """Call `compare(cell block as columns, unit vectors)` for each (_cell, _i, _j).
+
+    Rows are shuffled and sorted by block and read in batches that hold many small blocks or a part of a large one;
+    only the block at the end of a batch is kept for the next.
+    """
+    key = ["_cell", "_i", "_j"]
+
+    def finished(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame | None:
+        unit = _unit(frame["_vec"])
+        columns = {c: frame[c].to_numpy() for c in frame.columns if c != "_vec"}
+        found = []
+        for start, end in zip(np.r_[0, cuts], np.r_[cuts, len(frame)]):
+            if end - start > 1:
+                part = compare({c: v[start:end] for c, v in columns.items()}, unit[start:end])
+                if part is not None:
+                    found.append(part)
+        return pd.concat(found) if found else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if held.empty:
+                continue
+            keys = held[key].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            if len(cuts):
+                result = finished(held.iloc[: cuts[-1]], cuts[:-1])
+                held = held.iloc[cuts[-1] :]
+                if result is not None:
+                    yield result
+        if held is not None and len(held):
+            result = finished(held, np.array([], dtype=np.int64))
+            if result is not None:
+                yield result
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "_side").mapInPandas(run, schema)
+
+
 def _close_pairs(cells: DataFrame, min_cos: float, block_rows: int) -> DataFrame:
     """(id_a, id_b, cosine) of pairs in a cell, at least one of the two at home there."""
     id_type = cells.schema["_id"].dataType.simpleString()
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        right_side = frame["_side"] == "R"
-        left, right = frame[~right_side], frame[right_side]
-        found: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            same_block = bool(frame["_i"].iloc[0] == frame["_j"].iloc[0])
-            lu, ru = _unit(left["_vec"]), _unit(right["_vec"])
-            lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
-            lhome, rhome = left["_home"].to_numpy(), right["_home"].to_numpy()
-            for at in range(0, len(lu), STRIP):
-                sims = lu[at : at + STRIP] @ ru.T
-                x, y = np.nonzero(sims >= min_cos)
-                x_at = x + at
-                keep = lhome[x_at] | rhome[y]
-                if same_block:
-                    keep &= lid[x_at] < rid[y]
-                x, y, x_at = x[keep], y[keep], x_at[keep]
-                a, b = lid[x_at], rid[y]
+    def compare(block: dict[str, np.ndarray], unit: np.ndarray) -> pd.DataFrame | None:
+        within = block["_i"][0] == block["_j"][0]
+        cut = len(unit) if within else int((block["_side"] == "L").sum())
+        ids, home = block["_id"], block["_home"]
+        start = 0 if within else cut
+        ru, rid, rhome = unit[start:], ids[start:], home[start:]
+        found = []
+        for at in range(0, cut, STRIP):
+            stop = min(at + STRIP, cut)
+            sims = unit[at:stop] @ ru.T
+            x, y = np.nonzero(sims >= min_cos)
+            a, b = ids[at:stop][x], rid[y]
+            keep = home[at:stop][x] | rhome[y]
+            if within:
+                keep &= a < b
+            a, b, cos = a[keep], b[keep], sims[x[keep], y[keep]]
+            if len(a):
                 swap = a > b
                 found.append(
                     pd.DataFrame(
-                        {
-                            "id_a": np.where(swap, b, a),
-                            "id_b": np.where(swap, a, b),
-                            "cosine": np.round(sims[x, y], 6),
-                        }
+                        {"id_a": np.where(swap, b, a), "id_b": np.where(swap, a, b), "cosine": np.round(cos, 6)}
                     )
                 )
-        columns = ["id_a", "id_b", "cosine"]
-        return pd.concat(found) if found else pd.DataFrame({c: [] for c in columns})
+        return pd.concat(found) if found else None
 
-    met = meetings(cells, ["_cell"], "_id", block_rows)
-    return met.groupBy("_cell", "_i", "_j").applyInPandas(
-        compare, f"id_a {id_type}, id_b {id_type}, cosine double"
-    )
+    # A block met with itself needs its rows once.
+    met = meetings(cells, ["_cell"], "_id", block_rows).where("_side = 'L' OR _i < _j")
+    return _per_block(met, compare, f"id_a {id_type}, id_b {id_type}, cosine double")
 
 
 def near_vectors(
@@ -189,33 +222,34 @@ def _best_in_cells(probes: DataFrame, gallery: DataFrame, k: int, block_rows: in
     p_type = probes.schema["_id"].dataType.simpleString()
     g_type = gallery.schema["_id"].dataType.simpleString()
 
-    def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            pu, gu = _unit(left["_vec"]), _unit(right["_vec"])
-            pid, gid = left["_id"].to_numpy(), right["_id"].to_numpy()
-            barred = left["_self"].to_numpy()
-            for at in range(0, len(pu), STRIP):
-                sims = np.round(pu[at : at + STRIP] @ gu.T, 6)
-                own = pid[at : at + STRIP, None] == gid[None, :]
-                sims[own & barred[at : at + STRIP, None]] = -np.inf
-                if sims.shape[1] > k:
-                    worst = np.partition(sims, -k, axis=1)[:, -k][:, None]
-                else:
-                    worst = np.full((len(sims), 1), -1.1)
-                x, y = np.nonzero((sims >= worst) & np.isfinite(sims))
-                best = pd.DataFrame({"probe_id": pid[x + at], "gallery_id": gid[y], "cosine": sims[x, y]})
-                best = best.sort_values(["probe_id", "cosine", "gallery_id"], ascending=[True, False, True])
-                rows.append(best.groupby("probe_id", sort=False).head(k))
-        columns = ["probe_id", "gallery_id", "cosine"]
-        return pd.concat(rows) if rows else pd.DataFrame({c: [] for c in columns})
+    def compare(block: dict[str, np.ndarray], unit: np.ndarray) -> pd.DataFrame | None:
+        cut = int((block["_side"] == "L").sum())
+        if cut in (0, len(unit)):
+            return None
+        ids, barred = block["_id"], block["_self"]
+        gu, gid = unit[cut:], ids[cut:]
+        found = []
+        for at in range(0, cut, STRIP):
+            stop = min(at + STRIP, cut)
+            sims = np.round(unit[at:stop] @ gu.T, 6)
+            pid = ids[at:stop]
+            sims[(pid[:, None] == gid[None, :]) & barred[at:stop, None]] = -np.inf
+            worst = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -2.0)
+            x, y = np.nonzero((sims >= worst[:, None]) & np.isfinite(sims))
+            # By probe, then falling cosine, then gallery id; keep the first k of each probe.
+            order = np.lexsort((gid[y], -sims[x, y], x))
+            x, y = x[order], y[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x, side="left")
+            x, y = x[place < k], y[place < k]
+            found.append(pd.DataFrame({"probe_id": pid[x], "gallery_id": gid[y], "cosine": sims[x, y]}))
+        return pd.concat(found)
 
     left, right = meetings_of_two(probes, gallery, ["_cell"], "_id", "_id", block_rows)
-    return (
-        left.groupBy("_cell", "_i", "_j")
-        .cogroup(right.groupBy("_cell", "_i", "_j"))
-        .applyInPandas(compare, f"probe_id {p_type}, gallery_id {g_type}, cosine double")
+    columns = ["_cell", "_i", "_j", "_side", "_id", "_vec", "_self"]
+    rows = left.withColumn("_side", F.lit("L")).select(*columns).unionByName(
+        right.withColumns({"_side": F.lit("R"), "_self": F.lit(False)}).select(*columns)
     )
+    return _per_block(rows, compare, f"probe_id {p_type}, gallery_id {g_type}, cosine double")
 
 
 def _keep_best(pairs: DataFrame, k: int) -> DataFrame:
@@ -301,46 +335,40 @@ def _search_cells(p: DataFrame, g: DataFrame, pivots: np.ndarray, k: int, block_
     return near.unionByName(_best_in_cells(wider, g_cells.drop("_near"), k, block_rows))
 
 
-def match_components(pairs: DataFrame, every: int = 3) -> DataFrame:
+def match_components(pairs: DataFrame) -> DataFrame:
     """(id, group_id): connected parts of the match graph, named by their smallest id.
 
     Each round points every node's larger neighbours, then its smaller ones, at the smallest node around it
-    (Kiveris et al. 2014), which takes few rounds even on long chains. Lineage is cut by checkpoints. The only
-    value read by the driver is whether a round changed anything.
+    (Kiveris et al. 2014), which takes few rounds even on long chains. A round is checkpointed, so its plan does not
+    grow. The only value the driver reads is whether every node points straight at one root.
     """
-    spark = pairs.sparkSession
-    shared_dir(spark)
+    shared_dir(pairs.sparkSession)
     edges = (
         pairs.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
         .where("u <> v")
         .distinct()
         .checkpoint()
     )
-    nodes = edges
     while True:
-        before = edges
-        for _ in range(every):
-            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-            large = (
-                both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-            )
-            small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(small_least, "u")
-            edges = (
-                small.select(F.explode(F.array("u", "v")).alias("x"), "m")
-                .where("x <> m")
-                .select(F.col("x").alias("u"), F.col("m").alias("v"))
-                .distinct()
-            )
-        edges = edges.checkpoint()
-        changed = edges.exceptAll(before).unionByName(before.exceptAll(edges)).limit(1).count()
-        if not changed:
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        unsettled = edges.join(roots, "u", "left_semi").select("u").unionByName(
+            edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        )
+        if not unsettled.limit(1).count():
             break
-    ends = nodes.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    return ends.join(edges.select(F.col("u").alias("id"), F.col("v").alias("_m")), "id", "left").select(
-        "id", F.coalesce("_m", "id").alias("group_id")
-    )
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least_large = large.groupBy("u").agg(F.min("v").alias("m"))
+        edges = (
+            large.join(least_large, "u")
+            .select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+            .where("u <> v")
+            .distinct()
+            .checkpoint()
+        )
+    members = edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
+    return members.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("group_id")).distinct())
 
 
 def shared_face_groups(pairs: DataFrame, identities: DataFrame, id_col: str, identity: str) -> DataFrame:
