@@ -30,14 +30,26 @@ def signal_matrix(signals: DataFrame, names: Sequence[str], case: Sequence[str]
     return signals.groupBy(*case).agg(*[F.max(F.when(F.col("signal") == n, F.col("value"))).alias(n) for n in names])
 
 
-def _lookup(name: Column, pairs: Sequence[tuple[str, float]]) -> Column:
-    flat = [F.lit(x) for n, w in pairs for x in (n, float(w))]
-    return F.try_element_at(F.create_map(*flat), name)
+# Values count in steps of 1e-9 and weights in steps of 1e-6, so that sums are whole numbers: they do not depend on
+# row order, and a score is rounded from the exact quotient.
+VALUE_STEPS = 1_000_000_000
+WEIGHT_STEPS = 1_000_000
+MAX_WEIGHT = 1_000
 
 
-def _clamped(value: Column) -> Column:
-    """In [0,1] with nine decimals, so that sums do not depend on row order."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).cast("decimal(12,9)")
+def _weights(weights: DataFrame | Sequence[tuple[str, float]]) -> tuple[Column, int]:
+    """The weight of column `signal` in steps, null for a signal without one, and the sum of all weights."""
+    pairs = [(n, round(float(w) * WEIGHT_STEPS)) for n, w in setting_rows(weights, ["signal", "weight"])]
+    whole = sum(w for _, w in pairs)
+    if min((w for _, w in pairs), default=0) < 0 or not 0 < whole <= MAX_WEIGHT * WEIGHT_STEPS:
+        raise ValueError(f"weights must not be negative and must add up to more than 0 and at most {MAX_WEIGHT}")
+    flat = [x for n, w in pairs for x in (F.lit(n), F.lit(w).cast("bigint"))]
+    return F.try_element_at(F.create_map(*flat), F.col("signal")), whole
+
+
+def _steps(value: Column) -> Column:
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return F.when(value.isNotNull(), F.floor(clamped * VALUE_STEPS + 0.5))
 
 
 def risk_score(
@@ -47,28 +59,28 @@ def risk_score(
     case: Sequence[str] = ("case_id",),
     cases: DataFrame | None = None,
 ) -> DataFrame:
-    """Weighted mean per case, rounded to six places. `signals` holds a signal once per case.
+    """Weighted mean per case, rounded half up to six places. `signals` holds a signal once per case.
 
     `missing` says what an absent signal counts as: left out of both sums, 0, or 1. `case` may carry further
     columns fixed by the case. `cases` adds cases without any signal; their score is null.
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
-    pairs = setting_rows(weights, ["signal", "weight"])
-    whole = round(sum(float(w) for _, w in pairs), 9)
-    weight = _lookup(F.col("signal"), pairs).cast("decimal(12,9)")
-    held = F.when(F.col("value").isNotNull(), weight)
+    weight, whole = _weights(weights)
     sums = signals.groupBy(*case).agg(
-        F.sum(held * _clamped(F.col("value"))).cast("double").alias("_wv"),
-        F.sum(held).cast("double").alias("_w"),
+        F.sum(weight * _steps(F.col("value"))).alias("_wv"),
+        F.sum(F.when(F.col("value").isNotNull(), weight)).alias("_w"),
     )
-    absent = F.lit(whole) - F.col("_w")
-    score = {
-        "skip": F.col("_wv") / F.nullif(F.col("_w"), F.lit(0.0)),
-        "zero": F.col("_wv") / F.nullif(F.lit(whole), F.lit(0.0)),
-        "worst": (F.col("_wv") + absent) / F.nullif(F.lit(whole), F.lit(0.0)),
+    total = F.lit(whole).cast("bigint")
+    above, below = {
+        "skip": (F.col("_wv"), F.nullif(F.col("_w"), F.lit(0).cast("bigint"))),
+        "zero": (F.col("_wv"), total),
+        "worst": (F.col("_wv") + (total - F.col("_w")) * VALUE_STEPS, total),
     }[missing]
-    scored = sums.select(*case, F.round(score, 6).alias("score"))
+    # Twice the quotient in millionths, plus one, halved: whole-number division rounds it half up.
+    per_millionth = VALUE_STEPS // 1_000_000
+    parts = sums.select(*case, (above * 2 + below * per_millionth).alias("_a"), (below * 2 * per_millionth).alias("_b"))
+    scored = parts.select(*case, (F.expr("_a div _b") / F.lit(1_000_000)).alias("score"))
     if cases is None:
         return scored
     return cases.select(*case).distinct().join(scored, list(case), "left")
@@ -97,11 +109,12 @@ def top_reasons(
     case: Sequence[str] = ("case_id",),
 ) -> DataFrame:
     """The k signals that add most to each case: (case, place, signal, contribution)."""
-    weight = _lookup(F.col("signal"), setting_rows(weights, ["signal", "weight"])).cast("decimal(12,9)")
-    contribution = F.round((weight * _clamped(F.col("value"))).cast("double"), 6)
+    weight, _ = _weights(weights)
+    scaled = signals.select(*case, "signal", (weight * _steps(F.col("value"))).alias("_wv"))
+    contribution = F.expr(f"(_wv + {VALUE_STEPS // 2}) div {VALUE_STEPS}") / F.lit(WEIGHT_STEPS)
     ranked = Window.partitionBy(*case).orderBy(F.desc("contribution"), "signal")
     return (
-        signals.select(*case, "signal", contribution.alias("contribution"))
+        scaled.select(*case, "signal", contribution.alias("contribution"))
         .where("contribution IS NOT NULL")
         .withColumn("place", F.row_number().over(ranked))
         .where(F.col("place") <= k)

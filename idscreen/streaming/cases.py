@@ -2,82 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "case_id STRING, status STRING, first_at TIMESTAMP, last_at TIMESTAMP, missing STRING"
+# The earliest time of each required signal: never more entries than there are signals.
+STATE = "signals ARRAY<STRING>, micros ARRAY<BIGINT>, reported BOOLEAN"
 
 
 def _micros(at: pd.Timestamp) -> int:
     return pd.Timestamp(at).value // 1_000
 
 
-class CaseCompletion(StatefulProcessor):
-    """Keeps, per case, the earliest time of each required signal: never more values than there are signals."""
+def _completion(required: Sequence[str], timeout_seconds: int) -> Callable[..., Iterator[pd.DataFrame]]:
+    names = sorted(required)
+    limit = timeout_seconds * 1_000_000
 
-    def __init__(self, required: Sequence[str], timeout_seconds: int) -> None:
-        self.required = sorted(required)
-        self.timeout = timeout_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getMapState("first", "signal STRING", "at BIGINT")
-        self.closed = handle.getValueState("closed", "closed BOOLEAN")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.first.iterator()} if self.first.exists() else {}
-        known = dict(held)
-        for frame in rows:
-            frame = frame[frame["signal"].isin(self.required)]
-            for signal, at in frame.groupby("signal")["at"].min().items():
-                known[signal] = min(known.get(signal, _micros(at)), _micros(at))
-        if not known or known == held:
-            return
-        for signal, at in known.items():
-            if held.get(signal) != at:
-                self.first.updateValue((signal,), (at,))
-        deadline = min(known.values()) + self.timeout
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(deadline // 1_000)
-        if not self.closed.exists() and self._missing(known) == "":
-            self.closed.update((True,))
-            yield self._report(key, "complete", known)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = {k[0]: v[0] for k, v in self.first.iterator()}
-        reported = self.closed.exists()
-        self.first.clear()
-        self.closed.clear()
-        if known and not reported:
-            yield self._report(key, "timed_out", known)
-
-    def close(self) -> None:
-        pass
-
-    def _in_time(self, known: dict[str, int]) -> dict[str, int]:
-        deadline = min(known.values()) + self.timeout
+    def in_time(known: dict[str, int]) -> dict[str, int]:
+        deadline = min(known.values()) + limit
         return {s: at for s, at in known.items() if at <= deadline}
 
-    def _missing(self, known: dict[str, int]) -> str:
-        there = self._in_time(known)
-        return ",".join(s for s in self.required if s not in there)
-
-    def _report(self, key, status: str, known: dict[str, int]) -> pd.DataFrame:
-        there = self._in_time(known)
+    def report(case_id: str, status: str, known: dict[str, int]) -> pd.DataFrame:
+        there = in_time(known)
         return pd.DataFrame(
             {
-                "case_id": [str(key[0])],
+                "case_id": [case_id],
                 "status": [status],
                 "first_at": [pd.Timestamp(min(there.values()), unit="us")],
                 "last_at": [pd.Timestamp(max(there.values()), unit="us")],
-                "missing": [self._missing(known)],
+                "missing": [",".join(s for s in names if s not in there)],
             }
         )
 
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        signals, micros, reported = state.get if state.exists else ([], [], False)
+        known = dict(zip(signals, micros))
+        if state.hasTimedOut:
+            state.remove()
+            if known and not reported:
+                yield report(key[0], "timed_out", known)
+            return
+        for frame in frames:
+            wanted = frame[frame["signal"].isin(names)]
+            for signal, at in wanted.groupby("signal")["at"].min().items():
+                known[signal] = min(known.get(signal, _micros(at)), _micros(at))
+        if not known:
+            return
+        if not reported and len(in_time(known)) == len(names):
+            reported = True
+            yield report(key[0], "complete", known)
+        state.update((list(known), list(known.values()), reported))
+        deadline = (min(known.values()) + limit) // 1_000
+        state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs()) + 1)
+
+    return step
+
 
 def _earliest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
@@ -88,8 +70,8 @@ def complete_cases(stream: DataFrame, required: Sequence[str], timeout_seconds:
     """One row per case (case_id, signal, at in; case_id, status, first_at, last_at, missing out).
 
     `complete` as soon as every required signal has come within the timeout of the first one, otherwise `timed_out`
-    when the watermark has passed that limit. Rows are folded to the earliest per case and signal before the shuffle,
-    so a case with very many rows sends few of them.
+    when the watermark has passed that limit; a case is forgotten then. Rows are folded to the earliest per case and
+    signal in each batch before the shuffle, so a case with very many rows sends few of them.
     """
     rows = stream.selectExpr("CAST(case_id AS STRING) AS case_id", "signal", "at").where(
         "case_id IS NOT NULL AND signal IS NOT NULL AND at IS NOT NULL"
@@ -98,10 +80,7 @@ def complete_cases(stream: DataFrame, required: Sequence[str], timeout_seconds:
     return (
         folded.withWatermark("at", delay)
         .groupBy("case_id")
-        .transformWithStateInPandas(
-            statefulProcessor=CaseCompletion(required, timeout_seconds),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="EventTime",
+        .applyInPandasWithState(
+            _completion(required, timeout_seconds), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )

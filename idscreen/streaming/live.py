@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from idscreen.operators.registry import registry_check
 from idscreen.sources.scratch import fresh_dir
 
-# State in RocksDB stays off the heap and is uploaded as changes.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 @dataclass(frozen=True)
 class StreamRun:
@@ -34,7 +31,6 @@ def read_events(
 
 def run_once(df: DataFrame, out: str, checkpoint: str, name: str | None = None) -> StreamRun:
     """Process all input there is now into parquet files at `out`, then stop. Tells how many rows came too late."""
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if name:
         writer = writer.queryName(name)
