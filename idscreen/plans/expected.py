@@ -199,15 +199,15 @@ FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1
 _NEAR = """
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\f\\r]+'), lambda x: x <> '') AS ws
       FROM documents),
-s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(ws) - 1),
-             lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS st FROM w WHERE len(ws) >= 3),
-f AS (SELECT st, min(doc_id) AS id, len(st) AS n FROM s GROUP BY st),
-e AS (SELECT id, n, unnest(st) AS tok FROM f),
+f AS (SELECT ws, min(doc_id) AS id FROM w WHERE len(ws) >= 3 GROUP BY ws),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(ws) - 1),
+             lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS st FROM f),
+e AS (SELECT id, len(st) AS n, unnest(st) AS tok FROM s),
 p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k
       FROM e a JOIN e b ON a.tok = b.tok AND a.id < b.id GROUP BY ALL),
 near AS (
   SELECT id_a, id_b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.5
-  UNION ALL SELECT f.id, s.doc_id, 1.0 FROM s JOIN f ON f.st = s.st WHERE s.doc_id <> f.id)
+  UNION ALL SELECT f.id, w.doc_id, 1.0 FROM w JOIN f ON f.ws = w.ws WHERE w.doc_id <> f.id)
 """
 
 SQL["near_reuse"] = f"WITH {_NEAR} SELECT id_a, id_b, CAST(jaccard AS DOUBLE) AS jaccard FROM near"
