@@ -70,7 +70,8 @@ def complete_cases(stream: DataFrame, required: Sequence[str], timeout_seconds:
     """One row per case (case_id, signal, at in; case_id, status, first_at, last_at, missing out).
 
     `complete` as soon as every required signal has come within the timeout of the first one, otherwise `timed_out`
-    when the watermark has passed that limit; a case is forgotten then. Rows are folded to the earliest per case and
+    when the watermark has passed that limit; a case is forgotten then. A signal that comes after the limit but before
+    the case is forgotten belongs to the case that has run out of time and does not open another. Rows are folded to the earliest per case and
     signal in each batch before the shuffle, so a case with very many rows sends few of them.
     """
     rows = stream.selectExpr("CAST(case_id AS STRING) AS case_id", "signal", "at").where(
