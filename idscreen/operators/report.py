@@ -19,14 +19,17 @@ def checkpoint_summary(
     mode: str = "rollup",
     flag: str | None = None,
     sets: Sequence[Sequence[str]] = (),
+    count: str | None = None,
 ) -> DataFrame:
     """Cases (and with `flag` flagged cases and their rate) per combination of `dims` with subtotals.
 
     `mode` is rollup, cube or sets. `level` is the grouping id: one bit per dimension, set where it is summed up.
-    Cases are folded to one row per combination before the subtotals multiply rows.
+    Cases are folded to one row per combination before the subtotals multiply rows. `count` names a column with the
+    number of cases a row stands for, when they are folded already.
     """
-    flagged = F.sum(F.when(F.col(flag), 1).otherwise(0)) if flag else F.lit(0)
-    folded = cases.groupBy(*dims).agg(F.count(F.lit(1)).alias("_cases"), flagged.alias("_flagged"))
+    each = F.col(count) if count else F.lit(1).cast("bigint")
+    flagged = F.sum(F.when(F.col(flag), each).otherwise(0)) if flag else F.lit(0)
+    folded = cases.groupBy(*dims).agg(F.sum(each).alias("_cases"), flagged.alias("_flagged"))
     if mode == "rollup":
         grouped = folded.rollup(*dims)
     elif mode == "cube":

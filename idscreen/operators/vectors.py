@@ -200,11 +200,15 @@ def near_vectors(
 
     Equal vectors are compared once, under their smallest id; each further copy is linked to that id.
     """
-    rows = _usable(df, id_col, vec)
-    firsts = rows.groupBy("_vec").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"))
+    # Copies are linked over a 128-bit digest, so that only ids and digests are shuffled for it.
+    same = F.struct(F.xxhash64("_vec").alias("h"), F.xxhash64(F.lit(1), "_vec").alias("k"))
+    rows = _usable(df, id_col, vec).withColumn("_same", same)
+    firsts = rows.groupBy("_same", "_vec").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"))
     distinct = firsts.select("_id", "_vec")
-    repeated = firsts.where("_copies > 1").select("_vec", F.col("_id").alias("id_a"))
-    copies = rows.join(repeated, "_vec").where("id_a <> _id").select("id_a", F.col("_id").alias("id_b"))
+    repeated = firsts.where("_copies > 1").select("_same", F.col("_id").alias("id_a"))
+    copies = (
+        rows.select("_same", F.col("_id").alias("id_b")).join(repeated, "_same").where("id_a <> id_b")
+    ).select("id_a", "id_b")
     if method == "exact":
         chosen = _choose_pivots(distinct, pivots)
         if not len(chosen):

@@ -488,7 +488,7 @@ def _digests(name: str, source: str) -> str:
     """CTEs ending in `name` (conv_id, digest, rows), over `source` (conv_id, turn, role, text)."""
     levels = [
         f"{name}_1 AS (SELECT conv_id, turn // 3 AS g, {_CHAIN} AS t, count(*) AS n FROM"
-        f" (SELECT conv_id, turn, turn AS p, {_row_text('text')} AS t FROM {source}) GROUP BY ALL)"
+        f" (SELECT conv_id, turn, turn AS p, sha256({_row_text('text')}) AS t FROM {source}) GROUP BY ALL)"
     ]
     for i in (2, 3):
         levels.append(

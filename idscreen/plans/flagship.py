@@ -71,5 +71,7 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases per region, nation and decision with subtotals."""
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    cases = case_decisions(spark, sf_dir).join(nations.join(regions, "n_regionkey"), "c_nationkey")
-    return checkpoint_summary(cases, ["r_name", "n_name", "decision"])
+    # Counted per nation key before names are looked up: what is joined does not grow with the cases.
+    counts = case_decisions(spark, sf_dir).groupBy("c_nationkey", "decision").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(nations.join(regions, "n_regionkey"), "c_nationkey")
+    return checkpoint_summary(named, ["r_name", "n_name", "decision"], count="n")
