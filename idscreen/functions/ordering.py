@@ -26,6 +26,21 @@ def hot_keys(df: DataFrame, hot_rows: int) -> DataFrame:
     return counts.where(F.col("_n") > limit).select("_key", F.lit(True).alias("_hot"))
 
 
+LOWEST = -(2**62)
+MARKS = ("_key", "_hot", "_chunk")
+
+
+def mark_chunks(df: DataFrame, keys: Sequence[str], position: Column, width: float, hot_rows: int) -> DataFrame:
+    """Add `_key`, `_hot` and `_chunk`: the part of `position` for a hot key, null for an ordinary one.
+
+    Rows without a position come first in order, so they form the lowest chunk.
+    """
+    keyed = df.withColumn("_key", F.struct(*keys))
+    marked = keyed.join(F.broadcast(hot_keys(keyed, hot_rows)), "_key", "left")
+    part = F.coalesce(F.floor(position / F.lit(width)).cast("bigint"), F.lit(LOWEST).cast("bigint"))
+    return marked.withColumn("_chunk", F.when(F.col("_hot"), part))
+
+
 def in_order(
     df: DataFrame,
     keys: Sequence[str],
@@ -33,29 +48,36 @@ def in_order(
     position: Column,
     width: float,
     *,
+    hot_rows: int = HOT_ROWS,
+    **wanted: str | Mapping[str, str],
+) -> DataFrame:
+    """Add order-dependent columns per key; `wanted` as in `add_ordered`.
+
+    `position` is a number that never falls along `order`; hot keys are cut every `width` of it.
+    """
+    return add_ordered(mark_chunks(df, keys, position, width, hot_rows), order, **wanted).drop(*MARKS)
+
+
+def add_ordered(
+    chunked: DataFrame,
+    order: Sequence[str],
+    *,
     number: str | None = None,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     last_seen: Mapping[str, str] | None = None,
     first: Mapping[str, str] | None = None,
     last: Mapping[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add order-dependent columns per key.
+    """Order-dependent columns for rows marked with their chunk; the marks stay, and with them the partitioning.
 
-    `order` must be total inside a key. `position` is a number that never falls along `order`; hot keys are cut
-    every `width` of it. Each mapping is new column -> source column: `previous` and `following` read the
-    neighbouring row, `last_seen` the latest non-null value up to this row, `first` and `last` the ends of the
+    `order` must be total inside a key. Each mapping is new column -> source column: `previous` and `following` read
+    the neighbouring row, `last_seen` the latest non-null value up to this row, `first` and `last` the ends of the
     key. `number` names a row number from 1.
     """
     previous, following, last_seen = dict(previous or {}), dict(following or {}), dict(last_seen or {})
     first, last = dict(first or {}), dict(last or {})
-    columns = df.columns
-    keyed = df.withColumn("_key", F.struct(*keys))
-    marked = keyed.join(F.broadcast(hot_keys(keyed, hot_rows)), "_key", "left")
-    chunked = marked.withColumn(
-        "_chunk", F.when(F.col("_hot"), F.floor(position / F.lit(width))).otherwise(F.lit(0).cast("bigint"))
-    )
+    columns = chunked.columns
 
     group = Window.partitionBy("_key", "_chunk")
     ordered = group.orderBy(*order)
@@ -84,7 +106,8 @@ def in_order(
         summary.append(F.min_by(F.struct(col), place).alias(f"_start_{out}"))
     for out, col in last_seen.items():
         summary.append(F.max_by(col, F.when(F.col(col).isNotNull(), place)).alias(f"_seen_{out}"))
-    chunks = chunked.where("_hot").groupBy("_key", "_chunk").agg(*summary)
+    # A window's partition column: the filter moves below earlier passes, down to the join with the hot keys.
+    chunks = chunked.where("_chunk IS NOT NULL").groupBy("_key", "_chunk").agg(*summary)
 
     along = Window.partitionBy("_key").orderBy("_chunk")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)

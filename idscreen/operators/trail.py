@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from idscreen.functions import digest as dg
-from idscreen.functions.ordering import HOT_ROWS, in_order, micros
+from idscreen.functions.ordering import HOT_ROWS, add_ordered, in_order, mark_chunks, micros
 
 # Rows chained in one array; also how many digests a digest of the next level covers.
 SEGMENT = 1_000
@@ -53,13 +53,12 @@ def sessions(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Runs of a case's events with no gap above `gap_seconds`: (case, session_start, session_end, events)."""
-    order, width = [ts, event_id], chunk_seconds * 1e6
-    base = events.select(case, ts, event_id)
-    back = in_order(base, [case], order, micros(ts), width, previous={"_before": ts}, hot_rows=hot_rows)
+    order = [ts, event_id]
+    rows = mark_chunks(events.select(case, ts, event_id), [case], micros(ts), chunk_seconds * 1e6, hot_rows)
+    back = add_ordered(rows, order, previous={"_before": ts})
     opens = F.col("_before").isNull() | (micros(ts) - micros("_before") > F.lit(gap_seconds * 1_000_000))
-    marked = back.withColumn("_opened", F.when(opens, F.col(ts)))
-    placed = in_order(
-        marked, [case], order, micros(ts), width, last_seen={"session_start": "_opened"}, hot_rows=hot_rows
+    placed = add_ordered(
+        back.withColumn("_opened", F.when(opens, F.col(ts))), order, last_seen={"session_start": "_opened"}
     )
     return placed.groupBy(case, "session_start").agg(
         F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("events")
