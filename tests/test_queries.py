@@ -43,3 +43,20 @@ def test_files_are_scanned_whole(spark):
 def test_flagship_entry(spark):
     total = contract.entry(spark).where("level = 7").collect()
     assert [r["cases"] for r in total] == [1_500]
+
+
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark.cloudpickle import cloudpickle
+
+    from idscreen.plans.catalogue import _image_size
+    from idscreen.streaming.cases import _completion
+
+    code = "import sys, pickle; print([f.__name__ for f in pickle.loads(sys.stdin.buffer.read())])"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    data = cloudpickle.dumps([_image_size, _completion(["a"], 1)])
+    done = subprocess.run([sys.executable, "-c", code], input=data, cwd=tmp_path, env=env, capture_output=True)
+    assert done.stdout.decode().strip() == "['_image_size', 'step']", done.stderr.decode()
