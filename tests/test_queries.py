@@ -26,8 +26,8 @@ def test_same_as_sql(spark, name):
 
 def test_every_query_has_sql_or_a_reason():
     assert set(QUERIES) - set(SQL) == WITHOUT_SQL
-    assert set(contract.queries()) == set(QUERIES)
-    assert set(contract.oracle_sql()) == set(SQL)
+    assert set(contract.queries()) >= set(QUERIES)
+    assert set(contract.oracle_sql()) >= set(SQL)
 
 
 def test_files_are_scanned_whole(spark):
