@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from idscreen.llm import byte_bpe, exact_dedup, url_filter
+from idscreen.llm import byte_bpe, exact_dedup, ngram_ratio, quality_classifier, token_orc, url_filter
+from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import table
 
 RULES = [
@@ -25,6 +28,30 @@ GLOBS = [
 ]
 
 
+KEEP_SCORE = 0.3
+
+
+def quality_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarray:
+    """Weights learned from `labels.quality`, without the fifth of the ids that is held out."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return quality_classifier.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_classifier.add_score(docs, quality_weights(spark, docs, sf_dir), "text", "score")
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -42,4 +69,27 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES, GLOBS)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup, op6_url_filter)}
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "token-files")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_orc.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return token_orc.token_index(token_orc.read_token_files(spark, path))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted are the documents that `labels` marks as good and not toxic."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return ngram_ratio.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op3_byte_bpe,
+        op4_exact_dedup,
+        op6_url_filter,
+        op9_token_orc,
+        op10_quality_rules,
+    )
+}
