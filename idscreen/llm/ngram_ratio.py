@@ -77,11 +77,11 @@ def repeated_words(words: Column) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row with one array: log(p trusted / p raw) of every bucket, add-`smoothing` smoothed.
 
-    All documents are counted. Texts meet the trusted ids by one join on the id; counts are folded in every task
+    All documents are counted. Texts meet the trusted ids by one join on the id, whose sides both grow; counts are folded in every task
     before they are shuffled, so what is shuffled then is at most `buckets` rows per task.
     """
     marked = docs.join(
-        trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1)),
+        trusted.where("doc_id is not null").select("doc_id").distinct().withColumn("_trusted", F.lit(1)).hint("merge"),
         "doc_id",
         "left",
     ).select(F.regexp_extract_all("text", F.lit(_RUNS), F.lit(0)).alias("_runs"), F.coalesce("_trusted", F.lit(0)).alias("_t"))
