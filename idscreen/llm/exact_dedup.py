@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from idscreen.llm.shared import binary_values, free_name, materialise
+from idscreen.llm.shared import binary_values, free_name, keep_one, materialise
 
 BUCKETS = 64
 HOT_ROWS = 1_000
@@ -111,22 +111,11 @@ def decisions(rows: DataFrame, entered: DataFrame, hot_rows: int = HOT_ROWS) ->
 def keep_new(
     docs: DataFrame, index: str, batch_id: str, id_col: str = "doc_id", text: str = "text", buckets: int = BUCKETS
 ) -> DataFrame:
-    """The rows of a batch that stay, with all their columns.
-
-    Rows meet their decision by digest and id, so a text held by a third of all rows is spread by its ids. Of rows
-    equal in id and text, the one whose other columns come first as JSON stays.
-    """
+    """The rows of a batch that stay, with all their columns."""
     rows, entered = add_batch(docs, index, batch_id, id_col, text, buckets)
-    stay = entered.where("is_new").select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    stay = stay.join(
-        rows.select(F.col("digest").alias("_d"), F.col("doc_id").alias("_i"), F.col("n").alias("_n")),
-        (F.col("_digest") == F.col("_d")) & F.col("_keep").eqNullSafe(F.col("_i")),
-    ).select("_digest", "_keep", "_n")
+    first = entered.where("is_new").select(F.col("digest").alias("_d"), F.col("keep_id").alias("_keep"))
+    same = (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_keep"))
+    stay = rows.join(first, same).select(F.col("digest").alias("key"), "doc_id", "n")
     name = free_name(docs, "digest")
-    whole = with_digest(docs, text, name).select(
-        F.col(name).alias("_key"), F.col(id_col).alias("_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    )
-    met = whole.join(stay, (F.col("_key") == F.col("_digest")) & F.col("_id").eqNullSafe(F.col("_keep")))
-    single = met.where("_n = 1").select("_row.*")
-    repeated = met.where("_n > 1").groupBy("_key", "_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
-    return single.unionByName(repeated.select("_row.*"))
+    kept = keep_one(with_digest(docs, text, name), id_col, F.col(name), stay)
+    return kept.drop(name)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.llm import byte_bpe, exact_dedup, ngram_ratio, quality_classifier, token_orc, url_filter
+from idscreen.llm import bag_minhash, byte_bpe, exact_dedup, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import table
 
@@ -69,6 +69,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES, GLOBS)
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +99,8 @@ QUERIES = {
         op3_byte_bpe,
         op4_exact_dedup,
         op6_url_filter,
+        op7_bag_minhash,
+        op8_substring_dedup,
         op9_token_orc,
         op10_quality_rules,
     )

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from idscreen.sources.scratch import fresh_dir
 
@@ -15,14 +16,34 @@ from idscreen.sources.scratch import fresh_dir
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GOLDEN = 0x9E3779B97F4A7C15
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table once in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
-    path = fresh_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, purpose)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # what the write shuffled is not needed once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_one(docs: DataFrame, id_col: str, key: Column, stay: DataFrame) -> DataFrame:
+    """The rows of `docs` named by `stay` (key, doc_id, n), with all their columns; one of n rows equal in key and id.
+
+    Rows meet their decision by key and id together, so a key held by a third of all rows is spread by its ids. Of rows
+    equal in both, the one whose columns come first as JSON stays.
+    """
+    decided = stay.select(F.col("key").alias("_k"), F.col("doc_id").alias("_i"), F.col("n").alias("_n"))
+    whole = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"))
+    met = whole.join(decided, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")))
+    single = met.where("_n = 1").select("_row.*")
+    repeated = met.where("_n > 1").groupBy("_key", "_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return single.unionByName(repeated.select("_row.*"))
 
 
 def free_name(df: DataFrame, name: str) -> str:
