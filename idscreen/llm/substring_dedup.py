@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from idscreen.llm.shared import Rolling, WordHashes, binary_values, materialise, mixed
 
 WINDOW_WORDS = 50
-CELL_ENTRIES = 2_000_000
+CELL_ENTRIES = 1_000_000
 SALT_DOCUMENTS = 2_000_000
 
 
@@ -110,11 +110,11 @@ def _hits(cells: DataFrame, index: DataFrame, salts: int, width: str, parts: int
         found = (prints[place] == probe) & (owners[place] < doc)
         doc, probe, owner = doc[found], probe[found], owners[place[found]]
         if with_owner:
-            both = np.unique(np.rec.fromarrays([np.r_[doc, owner], np.r_[probe, probe]], names="d,p"))
-            doc, probe = both["d"], both["p"]
-        else:
-            order = np.argsort(doc, kind="stable")
-            doc, probe = doc[order], probe[order]
+            doc, probe = np.r_[doc, owner], np.r_[probe, probe]
+        order = np.lexsort((probe, doc))
+        doc, probe = doc[order], probe[order]
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (probe[1:] != probe[:-1])] if len(doc) else np.zeros(0, bool)
+        doc, probe = doc[new], probe[new]
         if not len(doc):
             return nothing
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -166,7 +166,7 @@ def _probes(texts: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     return texts.mapInArrow(pack, _CELLS)
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about `limit` bytes of text, at least one row each."""
     sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64))
     start = 0
