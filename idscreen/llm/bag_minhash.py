@@ -1,15 +1,16 @@
 """Near-duplicates by weighted Jaccard: BagMinHash signatures, bands, and exact multiset overlap.
 
-A document is a multiset of word shingles, a shingle's count being its weight. BagMinHash (Ertl 2018) runs a Poisson process over
-every shingle's weight: level 0 covers the weights from 0 to 1, level k those from 2 ** (k - 1) to 2 ** k, each level
-with as many points per unit of time as it is wide. A point carries its time, a signature component, and its place in the level, bit by bit the
-way down the binary tree of half levels; it counts if the place lies below the shingle's weight. The earliest point of
-each component is kept, so two components agree with a probability of exactly the weighted Jaccard similarity.
-
-Documents with the same multiset form one class and go on as one. Classes that share a band of their signatures are linked
-to one representative of that bucket and verified; what is then still in different components inside one bucket is
-compared there, in blocks, by signatures first, and verified as well. So no bucket is expanded into all its pairs, and links
-between different texts are kept.
+A document is a multiset of word shingles, a shingle's count being its weight. BagMinHash (Ertl 2018) runs a Poisson
+process over every shingle's weight: level 0 covers the weights from 0 to 1, level k those from 2 ** (k - 1) to 2 ** k,
+each with as many points per unit of time as it is wide. A point carries its time, a signature component, and its
+place in the level, whose bits are the way down a binary tree of half levels; it counts if the place lies below the
+shingle's weight. The earliest point of each component is kept, so two components agree with a probability of
+exactly the weighted Jaccard similarity.
+
+Documents with the same multiset are one bag and go on as one. Bags that share a band of their signatures are linked
+to one representative of that bucket and verified. Bags that buckets bring together and that are still in different
+components are then compared in blocks, by signatures first, and verified there; only links that join components leave
+a block. So no bucket is expanded into all its pairs, and no component is split.
 
 Cases: null and blank texts are empty multisets and form one class; a text shorter than a shingle is one shingle; ids
 may be null or repeated; an empty table gives an empty result; other columns pass through or are never looked at.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idscreen.functions.blocks import meetings
+from idscreen.functions.blocks import meetings_of_two
 from idscreen.llm.components import components
 from idscreen.llm.shared import GOLDEN, Rolling, WordHashes, binary_values, keep_one, materialise, mixed
 
@@ -35,6 +36,7 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 COMPONENTS = 128
 BAND_ROWS = 4
+BLOCK_BAGS = 500
 
 
 class Shingles:
@@ -165,31 +167,72 @@ def verified(pairs: DataFrame, bags: DataFrame, texts: DataFrame, shingle_words:
     return met.mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def _untested(bands: DataFrame, bags: DataFrame, roots: DataFrame, heads: DataFrame, m: int, least: int) -> DataFrame:
-    """(a, b): bags of one bucket that are in different components and agree in `least` signature components.
+def _straggling(bags: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(field, bag, root, apart): bags that candidate links bring together but that are not one component yet.
+
+    A field is a component of the candidate links, verified or not, so all bags of one bucket are in one field. `apart`
+    marks the bags outside the field's largest component. Fields of two bags are left out: their one pair is tested.
+    """
+    fields = components(links).select(F.col("node").alias("bag"), F.col("root").alias("field"))
+    placed = fields.join(roots.withColumnRenamed("node", "bag"), "bag", "left")
+    placed = placed.select("field", "bag", F.coalesce("root", "bag").alias("root"))
+    parts = placed.groupBy("field", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("field").agg(
+        F.max_by("root", F.struct("n", "root")).alias("_main"), F.count(F.lit(1)).alias("_parts"), F.sum("n").alias("_n")
+    )
+    mixed_fields = largest.where("_parts > 1 and _n > 2").select("field", "_main")
+    return placed.join(mixed_fields, "field").select("field", "bag", "root", (F.col("root") != F.col("_main")).alias("apart"))
+
+
+def _late_links(members: DataFrame, m: int, band_rows: int, shingle_words: int, min_similarity: float) -> DataFrame:
+    """(a, b, similarity): verified links between components of one field, of (field, bag, root, apart, sig, text).
 
-    Only buckets in which others than the head are still apart are looked at. They are cut into blocks, every two
-    blocks meet in a group of their own, and a group gives only pairs that may reach the similarity.
+    The bags apart meet all bags of the field, block by block. A pair is compared if its signatures share a band, as any
+    candidate must, and agree as often as the similarity asks, less six standard deviations; pairs that links found
+    before have joined are not compared again. What leaves a group is at most one link per component in it.
     """
-    placed = bands.join(heads, "bucket").where("bag <> head").join(roots.withColumnRenamed("node", "bag"), "bag", "left")
-    placed = placed.select("bucket", "bag", F.coalesce("root", "bag").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    members = materialise(placed.join(apart.select("bucket"), "bucket", "left_semi"), "apart")
-    met = meetings(members.join(bags.select("bag", "sig"), "bag"), ["bucket"], "bag", 1_000)
-
-    def agree(frame: pd.DataFrame) -> pd.DataFrame:
-        one, two = frame[frame["_side"] == "L"], frame[frame["_side"] == "R"]
-        sig = np.frombuffer(b"".join(two["sig"]), "<u4").reshape(len(two), m)
-        roots_two, bags_two = two["root"].to_numpy(), two["bag"].to_numpy()
-        a, b = [], []
-        for bag, root, own in zip(one["bag"], one["root"], one["sig"]):
-            near = ((sig == np.frombuffer(own, "<u4")).sum(axis=1) >= least) & (roots_two != root)
-            for other in bags_two[near]:
-                a.append(min(bag, other))
-                b.append(max(bag, other))
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
-
-    return met.groupBy("bucket", "_i", "_j").applyInPandas(agree, "a binary, b binary").distinct()
+    least = m * (min_similarity - 6 * (min_similarity * (1 - min_similarity) / m) ** 0.5)
+
+    def compare(apart: pd.DataFrame, every: pd.DataFrame) -> pd.DataFrame:
+        shingles = Shingles(shingle_words)
+        bags = [shingles.of(t.encode()) for t in every["text"]]
+        sizes = np.array([len(h) for h, _ in bags])
+        hashes, counts = np.concatenate([h for h, _ in bags]), np.concatenate([c for _, c in bags])
+        begins = np.cumsum(sizes) - sizes
+        totals = np.add.reduceat(counts, begins)
+        sig = np.frombuffer(b"".join(every["sig"]), "<u4").reshape(len(every), m)
+        names, roots = every["bag"].tolist(), every["root"].tolist()
+        joined: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        links = []
+        for bag, text, own_root, own_sig in zip(apart["bag"], apart["text"], apart["root"], apart["sig"]):
+            same = sig == np.frombuffer(own_sig, "<u4")
+            near = (same.sum(axis=1) >= least) & same.reshape(len(every), -1, band_rows).all(axis=2).any(axis=1)
+            own, own_counts = shingles.of(text.encode())
+            for k in np.flatnonzero(near):
+                if root(roots[k]) == root(own_root):
+                    continue
+                part = slice(begins[k], begins[k] + sizes[k])
+                place = np.searchsorted(own, hashes[part])
+                place[place == len(own)] = 0
+                shared = own[place] == hashes[part]
+                both = int(np.minimum(own_counts[place[shared]], counts[part][shared]).sum())
+                value = both / (int(own_counts.sum() + totals[k]) - both)
+                if value >= min_similarity:
+                    links.append((bag, names[k], value))
+                    joined[root(own_root)] = root(roots[k])
+        return pd.DataFrame(links, columns=["a", "b", "similarity"])
+
+    apart = members.where("apart").select(*[F.col(c).alias(c) for c in members.columns])
+    left, right = meetings_of_two(apart, members, ["field"], "bag", "bag", BLOCK_BAGS)
+    key = ["field", "_i", "_j"]
+    pairs = left.groupBy(*key).cogroup(right.groupBy(*key))
+    return pairs.applyInPandas(compare, "a binary, b binary, similarity double")
 
 
 def classes(
@@ -205,9 +248,7 @@ def classes(
     class_rows): a class holds all documents that are linked over any chain of pairs that reach `min_similarity`, and
     is named by its first document.
 
-    With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with a probability of 5 in 10 ** 8. A candidate
-    inside a bucket is left out without verification only when its signatures agree in more than six standard
-    deviations less than the threshold.
+    With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with a probability of 5 in 10 ** 8.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = narrow.withColumn("content", F.xxhash64("text"))
@@ -225,12 +266,12 @@ def classes(
     links = materialise(links.distinct(), "candidates")
     near = materialise(verified(links, bags, texts, shingle_words, min_similarity), "near")
     roots = components(near)
-    spread = (min_similarity * (1 - min_similarity) / m) ** 0.5
-    least = int(m * (min_similarity - 6 * spread))
-    more = materialise(_untested(bands, bags, roots, heads, m, least).join(links, ["a", "b"], "left_anti"), "apart-pairs")
-    if not more.isEmpty():
-        also = verified(more, bags, texts, shingle_words, min_similarity)
-        roots = components(near.unionByName(also))
+    late = _straggling(bags, links, roots).join(bags.select("bag", "rep", "sig"), "bag")
+    same = F.col("rep.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("rep.content") == F.col("t.content"))
+    late = late.join(texts.alias("t"), same).select("field", "bag", "root", "apart", "sig", "text").dropDuplicates(["bag"])
+    late = materialise(late, "apart")
+    also = materialise(_late_links(late, m, band_rows, shingle_words, min_similarity), "late-links")
+    roots = components(near.unionByName(also))
     placed = bags.join(roots.withColumnRenamed("node", "bag"), "bag", "left").select(
         "bag", F.coalesce("root", "bag").alias("root"), "rep", "n"
     )
