@@ -6,18 +6,37 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from idscreen.llm import byte_bpe, exact_dedup
-from idscreen.llm.shared import materialise
+from idscreen.llm import bag_minhash, byte_bpe, exact_dedup, mixing, quality_classifier
+from idscreen.llm.queries import KEEP_SCORE, quality_weights
+from idscreen.llm.shared import free_name, materialise
 from idscreen.sources.tables import table
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more stay; it learns from `labels` and this stage's own documents."""
+    score = free_name(docs, "score")
+    scored = quality_classifier.add_score(docs, quality_weights(spark, docs, sf_dir), "text", score)
+    return scored.where(F.col(score) >= KEEP_SCORE).drop(score)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for the case of A-Z, the document with the largest id stays."""
     run = uuid.uuid4().hex
     return exact_dedup.keep_new(docs, f"pipeline_index_{run}", run)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return bag_minhash.keep_first(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, one row for each pass that takes some."""
+    return mixing.mixed_documents(docs)
+
+
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and their way back to bytes, as digests."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -25,9 +44,15 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode_documents(encoded, ranks))
 
 
-STAGES = [("exact dedup", exact_stage), ("byte-level BPE encoding and decoding", bpe_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", bpe_stage),
+]
 
-# The classifier, the signatures and the encoding are not expressible in SQL; tests hold run() against brute force.
+# The classifier, the signatures and the encoding are not expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.llm import bag_minhash, byte_bpe, exact_dedup, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
+from idscreen.llm import bag_minhash, byte_bpe, exact_dedup, licenses, mixing, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import table
 
@@ -52,6 +52,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -65,6 +69,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(rows, entered)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), RULES, GLOBS)
 
@@ -96,8 +104,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier,
+        op2_mixing,
         op3_byte_bpe,
         op4_exact_dedup,
+        op5_licenses,
         op6_url_filter,
         op7_bag_minhash,
         op8_substring_dedup,
