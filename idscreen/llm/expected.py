@@ -37,4 +37,4 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
 """
 
-SQL = {"op4_exact_dedup": OP4, "op6_url_filter": OP6}
+SQL: dict[str, str] = {"op4_exact_dedup": OP4, "op6_url_filter": OP6}

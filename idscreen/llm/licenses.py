@@ -112,11 +112,11 @@ class TemplateIndex:
             own = self._words[template]
             # hits whose diagonals lie within the band, one after the other, are one candidate
             places.sort()
-            start = 0
+            start, wide = 0, min(band, len(own) // 2)  # so that the next copy of a short template is a candidate of its own
             for k in range(1, len(places) + 1):
-                if k < len(places) and places[k][0] - places[k - 1][0] <= band:
+                if k < len(places) and places[k][0] - places[k - 1][0] <= wide:
                     continue
-                low, high = places[start][0] - band, places[k - 1][0] + band
+                low, high = places[start][0] - wide, places[k - 1][0] + wide
                 start = k
                 match = self._aligned(template, own, h, low, high)
                 if match and match.coverage >= min_coverage:

@@ -11,6 +11,7 @@ ordered by their tokens, so reruns agree; an empty table gives files without row
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from idscreen.llm.shared import binary_values
 
 SHARD_BYTES = 64 << 20
+# Blanks that Python and the tokenizer may not both split at; texts that hold any are encoded whole.
+_ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -62,6 +65,8 @@ class WordIds:
         return ids
 
     def of(self, text: str) -> list[int]:
+        if _ODD_BLANKS.search(text):
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
         known, new, extend = self._whole.get, self._word, ids.extend
         for word in text.split():
