@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNIT_SEPARATOR = chr(31)
-NULL_MARK = chr(0)
+NULL_FIELD = "-:"
 
 
 def row_text(columns: Sequence[str]) -> Column:
-    """The columns as one string; a null stays distinct from an empty string."""
-    return F.concat_ws(
-        UNIT_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in columns]
-    )
+    """The columns as one string. Each value comes with its length in bytes, so text cannot move between fields."""
+    values = [F.col(c).cast("string") for c in columns]
+    fields = [F.concat(F.octet_length(v).cast("string"), F.lit(":"), v) for v in values]
+    return F.concat(*[F.coalesce(f, F.lit(NULL_FIELD)) for f in fields])
 
 
 def chain(texts: Column) -> Column:

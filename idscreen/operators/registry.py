@@ -70,7 +70,8 @@ def registry_as_of(
         F.col(key).alias("_k"),
         F.col(ts).alias("_ts"),
         F.lit(1).alias("_kind"),
-        F.col(record_order).cast("string").alias("_tie"),
+        F.col(record_order).alias("_record_tie"),
+        F.lit(None).cast(versions.schema[version_order].dataType).alias("_version_tie"),
         record.alias("_record"),
         F.lit(None).cast(version_type).alias("_version"),
     ).unionByName(
@@ -78,7 +79,8 @@ def registry_as_of(
             F.col(key).alias("_k"),
             F.col(version_ts).alias("_ts"),
             F.lit(0).alias("_kind"),
-            F.col(version_order).cast("string").alias("_tie"),
+            F.lit(None).cast(records.schema[record_order].dataType).alias("_record_tie"),
+            F.col(version_order).alias("_version_tie"),
             F.lit(None).cast(record_type).alias("_record"),
             version.alias("_version"),
         )
@@ -86,7 +88,7 @@ def registry_as_of(
     seen = in_order(
         stream,
         ["_k"],
-        ["_ts", "_kind", "_tie"],
+        ["_ts", "_kind", "_version_tie", "_record_tie"],
         micros("_ts"),
         chunk_seconds * 1e6,
         last_seen={"_found": "_version"},

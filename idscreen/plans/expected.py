@@ -478,7 +478,7 @@ SQL["sessions"] = f"WITH {_SESSIONS} SELECT user_id, session_start, session_end,
 
 def _row_text(text: str) -> str:
     parts = ["CAST(conv_id AS VARCHAR)", "CAST(turn AS VARCHAR)", "role", text]
-    return " || chr(31) || ".join(f"coalesce({p}, chr(0))" for p in parts)
+    return " || ".join(f"coalesce(CAST(strlen({p}) AS VARCHAR) || ':' || {p}, '-:')" for p in parts)
 
 
 _CHAIN = "list_reduce(list_prepend('', list(t ORDER BY p)), lambda a, x: sha256(a || x))"

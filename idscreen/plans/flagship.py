@@ -26,10 +26,11 @@ def case_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi")
         )
     )
+    # a case whose holder is unknown is screened all the same, as not listed
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_nationkey", (F.col("c_mktsegment") == LISTED_SEGMENT).alias("on_list")
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customers, "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate").join(customers, "o_custkey", "left")
     early = F.when(F.col("l_shipdate") < F.col("o_orderdate"), F.col("n")).otherwise(0)
     per_line = (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -48,7 +49,7 @@ def case_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
             for name, value in (
                 ("date_order", F.col("date_order")),
                 ("conflict", F.col("conflict")),
-                ("listed", F.col("on_list").cast("int")),
+                ("listed", F.coalesce("on_list", F.lit(False)).cast("int")),
             )
         ]
     )
@@ -73,5 +74,7 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
     # Counted per nation key before names are looked up: what is joined does not grow with the cases.
     counts = case_decisions(spark, sf_dir).groupBy("c_nationkey", "decision").agg(F.count(F.lit(1)).alias("n"))
-    named = counts.join(nations.join(regions, "n_regionkey"), "c_nationkey")
+    named = counts.join(nations.join(regions, "n_regionkey"), "c_nationkey", "left").fillna(
+        "unknown", ["r_name", "n_name"]
+    )
     return checkpoint_summary(named, ["r_name", "n_name", "decision"], count="n")

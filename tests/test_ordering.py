@@ -89,7 +89,7 @@ def test_as_of_with_chunks_and_end(events, spark):
         assert len(got) == records.count()
         for r in got:
             before = [v for v in every if r["at"] and v["since"] and v["case_id"] == r["case_id"] and v["since"] <= r["at"]]
-            best = max(before, key=lambda v: (v["since"], str(v["vid"])), default=None)
+            best = max(before, key=lambda v: (v["since"], v["vid"]), default=None)
             if best is None or best["until"] <= r["at"]:
                 assert (r["state"], r["vid"], r["version_from"]) == (None, None, None)
             else:

@@ -81,3 +81,21 @@ def test_append_replaces_only_its_batch(spark, tmp_path):
     got = read_trail(spark, path, schema)
     assert sorted(r["seq"] for r in got.collect()) == [0, 1, 2, 3, 20, 21, 22, 23]
     assert got.where("event_date = DATE'2024-01-02' AND batch_id = 'one'").count() == 2
+
+
+def test_row_digests_tell_shifted_separators_and_nulls_apart(spark):
+    from idscreen.functions.digest import row_text
+
+    rows = [("x\x1fy", "z"), ("x", "y\x1fz"), (None, "z"), ("\x00", "z"), ("", "z"), ("-:", "z"), ("1:x", "z"), ("x", "1:z")]
+    frame = spark.createDataFrame(rows, "a STRING, b STRING")
+    assert frame.select(row_text(["a", "b"]).alias("t")).distinct().count() == len(rows)
+
+
+def test_as_of_takes_the_later_version_of_one_instant(spark):
+    at = datetime(2024, 1, 1)
+    versions = spark.createDataFrame([("k", at, 9, "old"), ("k", at, 10, "new")], "k STRING, since TIMESTAMP_NTZ, vid INT, state STRING")
+    records = spark.createDataFrame([("k", at, 1)], "k STRING, at TIMESTAMP_NTZ, rid INT")
+    got = registry.registry_as_of(
+        records, versions, "k", "at", record_order="rid", version_ts="since", version_order="vid", values=["state"]
+    )
+    assert [r["state"] for r in got.collect()] == ["new"]
