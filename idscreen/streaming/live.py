@@ -78,7 +78,7 @@ def drop_repeats(stream: DataFrame, ts: str, keys: Sequence[str], delay: str) ->
 def live_registry_check(
     stream: DataFrame, registry: DataFrame, keys: Sequence[str], compare: Sequence[str]
 ) -> DataFrame:
-    """The registry check on a stream; the registry is read anew for every micro-batch."""
+    """The registry check on a stream. The registry's files are listed once, when its frame is made."""
     return registry_check(stream, registry, keys, compare)
 
 
