@@ -142,6 +142,9 @@ def add_ordered(
 
 
 def micros(ts: str | Column) -> Column:
-    """A timestamp with or without zone as microseconds since 1970."""
+    """A timestamp with or without zone as microseconds since 1970; without a zone, the session's zone plays no part."""
     col = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(col.cast("timestamp"))
+    since = col.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    plain = F.call_function("div", since, F.expr("INTERVAL '0.000001' SECOND"))
+    # The type is known when the plan is made, so one branch remains.
+    return F.when(F.typeof(col) == "timestamp_ntz", plain).otherwise(F.unix_micros(col.cast("timestamp")))

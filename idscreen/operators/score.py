@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idscreen.functions.quantiles import cumulative
-from idscreen.functions.settings import setting_rows
 
 DEFAULT_BANDS = [(0.0, 0.4, "clear"), (0.4, 0.7, "review"), (0.7, 1.0, "refer")]
 MISSING = ("skip", "zero", "worst")
@@ -30,26 +30,41 @@ def signal_matrix(signals: DataFrame, names: Sequence[str], case: Sequence[str]
     return signals.groupBy(*case).agg(*[F.max(F.when(F.col("signal") == n, F.col("value"))).alias(n) for n in names])
 
 
-# Values count in steps of 1e-9 and weights in steps of 1e-6, so that sums are whole numbers: they do not depend on
+# Values count in steps of 1e-9 and weights in steps of 1e-12, so that sums are whole numbers: they do not depend on
 # row order, and a score is rounded from the exact quotient.
 VALUE_STEPS = 1_000_000_000
-WEIGHT_STEPS = 1_000_000
-MAX_WEIGHT = 1_000
+LOWEST = -1.7976931348623157e308
+WEIGHT_STEPS = 1_000_000_000_000
+STEPS_TYPE = "decimal(25,0)"
 
 
-def _weights(weights: DataFrame | Sequence[tuple[str, float]]) -> tuple[Column, int]:
-    """The weight of column `signal` in steps, null for a signal without one, and the sum of all weights."""
-    pairs = [(n, round(float(w) * WEIGHT_STEPS)) for n, w in setting_rows(weights, ["signal", "weight"])]
+def _weighted(signals: DataFrame, weights: DataFrame | Sequence[tuple[str, float]]) -> tuple[DataFrame, Column]:
+    """Signals with `_weight` in steps, null for a signal without one, and the sum of all weights.
+
+    A table of weights is joined, whatever its size; a sequence becomes part of the plan.
+    """
+    wrong = "weights must not be negative and must add up to more than 0"
+    if isinstance(weights, DataFrame):
+        exact = F.round(F.col("weight").cast("decimal(38,12)") * WEIGHT_STEPS, 0).cast(STEPS_TYPE)
+        steps = weights.select("signal", exact.alias("_weight"))
+        sums = steps.agg(F.sum("_weight").alias("_sum"), F.min("_weight").alias("_least"))
+        usable = (F.col("_least") >= 0) & (F.col("_sum") > 0)
+        whole = F.when(usable, F.col("_sum")).otherwise(F.raise_error(F.lit(wrong)).cast("decimal(35,0)"))
+        total = sums.select(whole.alias("_whole")).scalar()
+        joined = signals.join(steps, "signal", "left")
+        # Read with every weight, so that wrong weights are an error under each policy.
+        return joined.withColumn("_weight", F.when(total > 0, F.col("_weight"))), total
+    pairs = [(n, round(Decimal(repr(float(w))) * WEIGHT_STEPS)) for n, w in weights]
     whole = sum(w for _, w in pairs)
-    if min((w for _, w in pairs), default=0) < 0 or not 0 < whole <= MAX_WEIGHT * WEIGHT_STEPS:
-        raise ValueError(f"weights must not be negative and must add up to more than 0 and at most {MAX_WEIGHT}")
-    flat = [x for n, w in pairs for x in (F.lit(n), F.lit(w).cast("bigint"))]
-    return F.try_element_at(F.create_map(*flat), F.col("signal")), whole
+    if min((w for _, w in pairs), default=0) < 0 or whole <= 0:
+        raise ValueError(wrong)
+    flat = [x for n, w in pairs for x in (F.lit(n), F.lit(Decimal(w)).cast(STEPS_TYPE))]
+    return signals.withColumn("_weight", F.try_element_at(F.create_map(*flat), F.col("signal"))), F.lit(Decimal(whole))
 
 
 def _steps(value: Column) -> Column:
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.when(value.isNotNull(), F.floor(clamped * VALUE_STEPS + 0.5))
+    return F.when(value.isNotNull(), F.floor(clamped * VALUE_STEPS + 0.5)).cast("decimal(10,0)")
 
 
 def risk_score(
@@ -66,14 +81,14 @@ def risk_score(
     """
     if missing not in MISSING:
         raise ValueError(f"missing must be one of {MISSING}")
-    weight, whole = _weights(weights)
-    sums = signals.groupBy(*case).agg(
+    weighted, total = _weighted(signals, weights)
+    weight = F.col("_weight")
+    sums = weighted.groupBy(*case).agg(
         F.sum(weight * _steps(F.col("value"))).alias("_wv"),
         F.sum(F.when(F.col("value").isNotNull(), weight)).alias("_w"),
     )
-    total = F.lit(whole).cast("bigint")
     above, below = {
-        "skip": (F.col("_wv"), F.nullif(F.col("_w"), F.lit(0).cast("bigint"))),
+        "skip": (F.col("_wv"), F.nullif(F.col("_w"), F.lit(Decimal(0)))),
         "zero": (F.col("_wv"), total),
         "worst": (F.col("_wv") + (total - F.col("_w")) * VALUE_STEPS, total),
     }[missing]
@@ -86,9 +101,9 @@ def risk_score(
     return cases.select(*case).distinct().join(scored, list(case), "left")
 
 
-def decision_for(score: Column, bands: DataFrame | Sequence[tuple[float, float, str]]) -> Column:
+def decision_for(score: Column, bands: Sequence[tuple[float, float, str]]) -> Column:
     """Name of the band lo <= score < hi; the last band also takes its upper end. No score means review."""
-    rows = sorted(setting_rows(bands, ["lo", "hi", "decision"]))
+    rows = sorted(tuple(b) for b in bands)
     decision = F.when(score.isNull(), "review")
     for n, (lo, hi, name) in enumerate(rows):
         below = score <= hi if n == len(rows) - 1 else score < hi
@@ -99,7 +114,15 @@ def decision_for(score: Column, bands: DataFrame | Sequence[tuple[float, float,
 def risk_decision(
     scores: DataFrame, bands: DataFrame | Sequence[tuple[float, float, str]] = DEFAULT_BANDS
 ) -> DataFrame:
-    return scores.withColumn("decision", decision_for(F.col("score"), bands))
+    """Adds `decision`. A table of bands becomes one array, made by Spark and read as a single value."""
+    if not isinstance(bands, DataFrame):
+        return scores.withColumn("decision", decision_for(F.col("score"), bands))
+    row = F.struct(F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "decision")
+    every = bands.agg(F.array_sort(F.collect_list(row)).alias("_bands")).scalar()
+    score, last = F.col("score"), F.size("_bands") - 1
+    held = F.filter("_bands", lambda b, i: (score >= b["lo"]) & ((score < b["hi"]) | ((i == last) & (score <= b["hi"]))))
+    decision = F.when(score.isNull(), "review").otherwise(F.get(held, F.lit(0))["decision"])
+    return scores.withColumn("_bands", every).withColumn("decision", decision).drop("_bands")
 
 
 def top_reasons(
@@ -109,9 +132,10 @@ def top_reasons(
     case: Sequence[str] = ("case_id",),
 ) -> DataFrame:
     """The k signals that add most to each case: (case, place, signal, contribution)."""
-    weight, _ = _weights(weights)
-    scaled = signals.select(*case, "signal", (weight * _steps(F.col("value"))).alias("_wv"))
-    contribution = F.expr(f"(_wv + {VALUE_STEPS // 2}) div {VALUE_STEPS}") / F.lit(WEIGHT_STEPS)
+    weighted, _ = _weighted(signals, weights)
+    scaled = weighted.select(*case, "signal", (F.col("_weight") * _steps(F.col("value"))).alias("_wv"))
+    millionth = VALUE_STEPS * WEIGHT_STEPS // 1_000_000
+    contribution = F.expr(f"(_wv + {millionth // 2}) div {millionth}") / F.lit(1_000_000)
     ranked = Window.partitionBy(*case).orderBy(F.desc("contribution"), "signal")
     return (
         scaled.select(*case, "signal", contribution.alias("contribution"))
@@ -187,22 +211,16 @@ def detection_quality(
     scores: DataFrame, labels: DataFrame, thresholds: DataFrame | Sequence[float], case: str = "case_id"
 ) -> DataFrame:
     """Confusion counts, precision, recall per threshold (score >= threshold is a hit), and rank AUC."""
-    points = _thresholds(thresholds)
-    ranked = cumulative(_outcomes(scores, labels, case), "score", ["pos", "neg"])
+    placed = _at_thresholds(_outcomes(scores, labels, case), thresholds, ["pos", "neg"])
     area = F.sum(F.col("pos").cast("decimal(38,1)") * (F.col("below_neg") + F.col("neg") / 2).cast("decimal(38,1)"))
-    # One pass over distinct scores; the array holds one entry per threshold.
-    sums = [F.max("total_pos").alias("_p"), F.max("total_neg").alias("_n"), area.cast("double").alias("_area")]
-    for i, t in enumerate(points):
-        at = F.col("score") >= t
-        sums.append(F.coalesce(F.sum(F.when(at, F.col("pos"))), F.lit(0)).alias(f"_tp{i}"))
-        sums.append(F.coalesce(F.sum(F.when(at, F.col("neg"))), F.lit(0)).alias(f"_fp{i}"))
-    per = F.array(
-        *[
-            F.struct(F.lit(t).alias("threshold"), F.col(f"_tp{i}").alias("tp"), F.col(f"_fp{i}").alias("fp"))
-            for i, t in enumerate(points)
-        ]
+    rows = placed.where("_mark").select(
+        F.col("score").alias("threshold"),
+        (F.col("total_pos") - F.col("below_pos")).alias("tp"),
+        (F.col("total_neg") - F.col("below_neg")).alias("fp"),
+        F.col("total_pos").alias("_p"),
+        F.col("total_neg").alias("_n"),
+        placed.agg(area.cast("double").alias("_area")).scalar().alias("_area"),
     )
-    rows = ranked.agg(*sums).select("_p", "_n", "_area", F.inline(per))
     return rows.select(
         "threshold",
         "tp",
@@ -217,42 +235,46 @@ def detection_quality(
     )
 
 
-def _thresholds(thresholds: DataFrame | Sequence[float]) -> list[float]:
-    rows = thresholds if isinstance(thresholds, DataFrame) else [(t,) for t in thresholds]
-    return sorted(float(t) for (t,) in setting_rows(rows, ["threshold"]))
+def _at_thresholds(
+    counts: DataFrame, thresholds: DataFrame | Sequence[float], measures: Sequence[str]
+) -> DataFrame:
+    """Counts per score with running totals; rows at a threshold have `_mark`. Thresholds go through the same pass."""
+    if isinstance(thresholds, DataFrame):
+        points = thresholds.select(F.col("threshold").cast("double").alias("score"))
+    else:
+        points = counts.sparkSession.createDataFrame([(float(t),) for t in thresholds], "score double")
+    none = {m: F.lit(0).cast("bigint") for m in measures}
+    rows = counts.select(F.col("score").cast("double").alias("score"), *measures, F.lit(False).alias("_mark"))
+    marks = points.distinct().withColumns({**none, "_mark": F.lit(True)})
+    both = rows.unionByName(marks).groupBy("score")
+    folded = both.agg(*[F.sum(m).alias(m) for m in measures], F.max("_mark").alias("_mark"))
+    return cumulative(folded, "score", measures)
 
 
 def match_error_rates(
     scored: DataFrame, truth: DataFrame, thresholds: DataFrame | Sequence[float], keys: Sequence[str]
 ) -> DataFrame:
-    """False match and false non-match rate per threshold. `truth`: keys, same (BOOLEAN)."""
-    pairs = scored.join(truth.select(*keys, "same"), list(keys)).where("score IS NOT NULL AND same IS NOT NULL")
-    counts = pairs.groupBy(F.col("score"), F.col("same")).agg(F.count(F.lit(1)).alias("n"))
-    points = _thresholds(thresholds)
-    same, other = F.col("same"), ~F.col("same")
-
-    def total(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-
-    sums = [total(same).alias("_same"), total(other).alias("_other")]
-    for i, t in enumerate(points):
-        sums.append(total(other & (F.col("score") >= t)).alias(f"_fm{i}"))
-        sums.append(total(same & (F.col("score") < t)).alias(f"_fn{i}"))
-    per = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("threshold"),
-                F.col(f"_fm{i}").alias("false_matches"),
-                F.col(f"_fn{i}").alias("false_non_matches"),
-            )
-            for i, t in enumerate(points)
-        ]
+    """False match and false non-match rate per threshold. `truth`: keys, same (BOOLEAN).
+
+    Every pair of the truth counts; one without a score is a match at no threshold.
+    """
+    pairs = truth.select(*keys, "same").join(scored.select(*keys, "score"), list(keys), "left").where("same IS NOT NULL")
+    one = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    # Below every threshold: where there is no score.
+    low = F.coalesce(F.col("score").cast("double"), F.lit(LOWEST))
+    counts = pairs.groupBy(low.alias("score")).agg(one(F.col("same")).alias("same"), one(~F.col("same")).alias("other"))
+    rows = _at_thresholds(counts, thresholds, ["same", "other"]).where("_mark")
+    rows = rows.select(
+        F.col("score").alias("threshold"),
+        (F.col("total_other") - F.col("below_other")).alias("false_matches"),
+        F.col("below_same").alias("false_non_matches"),
+        F.col("total_other").alias("_other"),
+        F.col("total_same").alias("_same"),
     )
-    rows = counts.agg(*sums).select("_same", "_other", F.inline(per))
     return rows.select(
         "threshold",
         "false_matches",
         "false_non_matches",
         F.round(F.col("false_matches") / F.nullif(F.col("_other"), F.lit(0)), 6).alias("false_match_rate"),
         F.round(F.col("false_non_matches") / F.nullif(F.col("_same"), F.lit(0)), 6).alias("false_non_match_rate"),
-    )
+    ).orderBy("threshold")

@@ -28,12 +28,18 @@ STRIP = 512
 def match_one_to_one(
     captures: DataFrame, photos: DataFrame, key: str, vec: str, min_cos: float
 ) -> DataFrame:
-    """Capture against document photo of the same case: (key, cosine, is_match)."""
+    """Capture against document photo of the same case: (key, cosine, is_match, status).
+
+    `status` is compared, or no_photo for a capture without one; such a capture is no match.
+    """
     a = captures.select(key, F.col(vec).alias("_a"))
-    b = photos.select(key, F.col(vec).alias("_b"))
+    b = photos.select(key, F.col(vec).alias("_b"), F.lit("compared").alias("_status"))
     cos = cosine(F.col("_a"), F.col("_b"))
-    return a.join(b, key).select(
-        key, F.round(cos, 6).alias("cosine"), F.coalesce(cos >= min_cos, F.lit(False)).alias("is_match")
+    return a.join(b, key, "left").select(
+        key,
+        F.round(cos, 6).alias("cosine"),
+        F.coalesce(cos >= min_cos, F.lit(False)).alias("is_match"),
+        F.coalesce("_status", F.lit("no_photo")).alias("status"),
     )
 
 

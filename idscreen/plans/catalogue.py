@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from idscreen.operators import fields, registry, report, reuse, score, trail, vectors
 from idscreen.plans import flagship
-from idscreen.sources.images import scan_images
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import SCHEMAS, table
 from idscreen.sources.trail_store import read_trail, trail_append
@@ -93,7 +91,7 @@ def validate_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
     long = table(spark, sf_dir, "documents").select("doc_id", F.explode(runs).alias("number"))
-    return long.where(F.length("number") == 16)
+    return long.where(F.length("number") >= 2)
 
 
 @query
@@ -139,23 +137,28 @@ def fuzzy_registry_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Registry
 
 
+def _claimed(row: str, key: str) -> Column:
+    """The key as claimed: every tenth row claims one that no register holds."""
+    return F.when(F.col(row) % 10 == 0, -F.col(key)).otherwise(F.col(key))
+
+
 @query
 def registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        F.col("o_custkey").alias("c_custkey"),
+        _claimed("o_orderkey", "o_custkey").alias("c_custkey"),
         (F.col("o_custkey") % 25).cast("int").alias("c_nationkey"),
         F.lit("MACHINERY").alias("c_mktsegment"),
     )
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    known = table(spark, sf_dir, "customer")
     checked = registry.registry_check(claims, known, ["c_custkey"], ["c_nationkey", "c_mktsegment"])
     return checked.select("o_orderkey", "c_custkey", "status", F.array_join("differing", ",").alias("differing"))
 
 
 @query
 def not_in_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    return registry.not_in_registry(orders, table(spark, sf_dir, "customer").where("c_acctbal > 0"), ["c_custkey"])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", _claimed("o_orderkey", "o_custkey").alias("c_custkey"))
+    return registry.not_in_registry(orders, table(spark, sf_dir, "customer"), ["c_custkey"])
 
 
 @query
@@ -228,30 +231,6 @@ def template_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.template_outliers(documents, ["source"], "n_chars", 3.0)
 
 
-def _image_size(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "page_id": frame["page_id"],
-            "n_bytes": frame["content"].map(len),
-            "n_marked": frame["content"].map(lambda b: b.count(b"<")),
-        }
-    )
-
-
-@query
-def apply_image_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("content"))
-    return reuse.apply_image_model(
-        captures, _image_size, "page_id BIGINT, n_bytes BIGINT, n_marked BIGINT", ["page_id", "content"]
-    )
-
-
-@query
-def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = scan_images(spark, sf_dir, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "digest")
-
-
 # Embeddings
 
 
@@ -297,13 +276,14 @@ def shared_face_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def match_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = _faces(spark, sf_dir)
-    found = match_one_to_many(spark, sf_dir).select("probe_id", "gallery_id", F.col("cosine").alias("score"))
-    a = faces.select(F.col("vec_id").alias("probe_id"), F.col("label").alias("_a"))
-    b = faces.select(F.col("vec_id").alias("gallery_id"), F.col("label").alias("_b"))
-    truth = found.join(a, "probe_id").join(b, "gallery_id").select(
-        "probe_id", "gallery_id", (F.col("_a") == F.col("_b")).alias("same")
+    found = match_one_to_one(spark, sf_dir).select("case_id", F.col("cosine").alias("score"))
+    captured = faces.select(F.col("vec_id").alias("case_id"), "label")
+    on_photo = faces.select((F.col("vec_id") - 1).alias("case_id"), F.col("label").alias("_label"))
+    # A case without photo has no score; it counts as genuine.
+    truth = captured.join(on_photo, "case_id", "left").select(
+        "case_id", F.coalesce(F.col("label") == F.col("_label"), F.lit(True)).alias("same")
     )
-    return score.match_error_rates(found, truth, [0.25, 0.3, 0.35, 0.4], ["probe_id", "gallery_id"])
+    return score.match_error_rates(found, truth, [-0.1, 0.0, 0.1, 0.25], ["case_id"])
 
 
 # Scores. A case is a user; a signal is an event type with its value, or its type and the number in `props`.
@@ -334,24 +314,20 @@ def signal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.signal_matrix(events, names)
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir).where("value >= 0.2")
-
-
 @query
 def risk_score_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"))
-    return score.risk_score(_sparse(spark, sf_dir), SIGNAL_WEIGHTS, "skip", cases=people)
+    return score.risk_score(_signals(spark, sf_dir), SIGNAL_WEIGHTS, "skip", cases=people)
 
 
 @query
 def risk_score_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.risk_score(_sparse(spark, sf_dir), SIGNAL_WEIGHTS, "zero")
+    return score.risk_score(_signals(spark, sf_dir), SIGNAL_WEIGHTS, "zero")
 
 
 @query
 def risk_score_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.risk_score(_sparse(spark, sf_dir), SIGNAL_WEIGHTS, "worst")
+    return score.risk_score(_signals(spark, sf_dir), SIGNAL_WEIGHTS, "worst")
 
 
 @query
@@ -500,8 +476,9 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def trail_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    stored = trail.trail_digest(rows.where("length(text) < 900"), "conv_id", "turn", CONVERSATION, QUERY_SEGMENT)
-    now = _edited(spark, sf_dir).where("length(text) > 40")
+    stored = trail.trail_digest(rows, "conv_id", "turn", CONVERSATION, QUERY_SEGMENT)
+    # Every eleventh conversation is found under another id: one is missing and one is extra.
+    now = _edited(spark, sf_dir).withColumn("conv_id", F.expr("CASE WHEN conv_id % 11 = 0 THEN -1 - conv_id ELSE conv_id END"))
     return trail.trail_verify(now, stored, "conv_id", "turn", CONVERSATION, QUERY_SEGMENT)
 
 
@@ -516,7 +493,7 @@ def trail_append_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     trail_append(events.where("event_type <> 'error'"), path, "first", "ts")
     trail_append(events.where("event_type = 'error'"), path, "second", "ts")
-    # The same batch once more: it takes the place of its own days and leaves the first batch as it is.
+    # The same batch once more: it takes its own place and leaves the first batch as it is.
     trail_append(events.where("event_type = 'error'"), path, "second", "ts")
     return read_trail(spark, path, SCHEMAS["events"]).select("event_id", "user_id", "event_type", "event_date", "batch_id")
 
@@ -560,10 +537,10 @@ def live_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = _stream(spark, sf_dir).select(
         "event_id",
-        F.col("user_id").alias("c_custkey"),
+        _claimed("event_id", "user_id").alias("c_custkey"),
         (F.col("user_id") % 25).cast("int").alias("c_nationkey"),
     )
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    known = table(spark, sf_dir, "customer")
     checked = live.live_registry_check(claims, known, ["c_custkey"], ["c_nationkey"])
     return live.finish(checked.select("event_id", "status", F.array_join("differing", ",").alias("differing")))
 

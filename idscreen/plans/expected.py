@@ -1,6 +1,6 @@
 """The same queries in SQL for DuckDB, over views named as the tables: name -> statement.
 
-Left out, because SQL does not say the same: approximate methods, and the scan of files.
+Left out, because SQL does not say the same: approximate methods.
 """
 
 from __future__ import annotations
@@ -101,22 +101,22 @@ FROM long JOIN rules USING (doc_type, field)
 _CARDS = """
 cards AS (
   SELECT doc_id, number FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS number FROM documents)
-  WHERE length(number) = 16)
+  WHERE length(number) >= 2)
 """
 
 SQL["validate_check_digit"] = f"""
 WITH {_CARDS}
 SELECT doc_id, number,
-       list_sum(list_transform(range(1, 16), lambda i: CAST(number[i] AS BIGINT) * ([7, 3, 1])[((i - 1) % 3) + 1])) % 10
-       = CAST(number[16] AS BIGINT) AS check_ok
+       list_sum(list_transform(range(1, length(number)), lambda i: CAST(number[i] AS BIGINT) * ([7, 3, 1])[((i - 1) % 3) + 1])) % 10
+       = CAST(number[-1] AS BIGINT) AS check_ok
 FROM cards
 """
 
 SQL["validate_luhn"] = f"""
 WITH {_CARDS}
 SELECT doc_id, number,
-       list_sum(list_transform(range(1, 17), lambda i:
-         CASE WHEN i % 2 = 0 THEN CAST(number[i] AS BIGINT)
+       list_sum(list_transform(range(1, length(number) + 1), lambda i:
+         CASE WHEN (length(number) - i) % 2 = 0 THEN CAST(number[i] AS BIGINT)
               WHEN CAST(number[i] AS BIGINT) > 4 THEN CAST(number[i] AS BIGINT) * 2 - 9
               ELSE CAST(number[i] AS BIGINT) * 2 END)) % 10 = 0 AS check_ok
 FROM cards
@@ -154,10 +154,11 @@ FROM a JOIN b USING (nation) WHERE levenshtein(a.name, b.name) <= 1
 
 SQL["registry_check"] = """
 WITH c AS (
-  SELECT o_orderkey, o_custkey AS c_custkey, k.c_custkey IS NOT NULL AS found,
+  SELECT o_orderkey, claim AS c_custkey, k.c_custkey IS NOT NULL AS found,
          CASE WHEN k.c_nationkey IS DISTINCT FROM o_custkey % 25 THEN 'c_nationkey' END AS d1,
          CASE WHEN k.c_mktsegment IS DISTINCT FROM 'MACHINERY' THEN 'c_mktsegment' END AS d2
-  FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) k ON k.c_custkey = o_custkey)
+  FROM (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS claim FROM orders)
+  LEFT JOIN customer k ON k.c_custkey = claim)
 SELECT o_orderkey, c_custkey,
        CASE WHEN NOT found THEN 'not_found' WHEN d1 IS NULL AND d2 IS NULL THEN 'found' ELSE 'mismatch' END AS status,
        CASE WHEN found THEN concat_ws(',', d1, d2) ELSE '' END AS differing
@@ -165,8 +166,9 @@ FROM c
 """
 
 SQL["not_in_registry"] = """
-SELECT o_orderkey, o_custkey AS c_custkey FROM orders
-WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)
+SELECT o_orderkey, claim AS c_custkey
+FROM (SELECT *, CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS claim FROM orders)
+WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = claim)
 """
 
 SQL["listed"] = """
@@ -199,9 +201,9 @@ FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1
 _NEAR = """
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\n\\f\\r]+'), lambda x: x <> '') AS ws
       FROM documents),
-f AS (SELECT ws, min(doc_id) AS id FROM w WHERE len(ws) >= 3 GROUP BY ws),
-s AS (SELECT id, list_distinct(list_transform(range(1, len(ws) - 1),
-             lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS st FROM f),
+f AS (SELECT ws, min(doc_id) AS id FROM w WHERE len(ws) >= 1 GROUP BY ws),
+s AS (SELECT id, CASE WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1),
+             lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS st FROM f),
 e AS (SELECT id, len(st) AS n, unnest(st) AS tok FROM s),
 p AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS k
       FROM e a JOIN e b ON a.tok = b.tok AND a.id < b.id GROUP BY ALL),
@@ -232,21 +234,16 @@ SELECT doc_id, source, n_chars, median, mad FROM documents JOIN d USING (source)
 WHERE mad > 0 AND abs(n_chars - median) > 3 * 1.4826 * mad
 """
 
-SQL["apply_image_model"] = """
-SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes,
-       CAST(length(html) - length(replace(html, '<', '')) AS BIGINT) AS n_marked
-FROM pages
-"""
-
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 SQL["match_one_to_one"] = f"""
-SELECT a.vec_id AS case_id, round({_COS}, 6) AS cosine, {_COS} >= 0.1 AS is_match
-FROM embeddings a JOIN embeddings b ON b.vec_id - 1 = a.vec_id
+SELECT a.vec_id AS case_id, round({_COS}, 6) AS cosine, coalesce({_COS} >= 0.1, false) AS is_match,
+       CASE WHEN b.vec_id IS NULL THEN 'no_photo' ELSE 'compared' END AS status
+FROM embeddings a LEFT JOIN embeddings b ON b.vec_id - 1 = a.vec_id
 """
 
 _TOP = f"""
-c AS (SELECT a.vec_id AS probe_id, b.vec_id AS gallery_id, a.label = b.label AS same, round({_COS}, 6) AS cosine
+c AS (SELECT a.vec_id AS probe_id, b.vec_id AS gallery_id, round({_COS}, 6) AS cosine
       FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
 top AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY cosine DESC, gallery_id) AS place FROM c
         QUALIFY place <= 5)
@@ -270,12 +267,13 @@ WHERE group_id IN (SELECT group_id FROM m GROUP BY 1 HAVING count(DISTINCT ident
 """
 
 SQL["match_error_rates"] = f"""
-WITH {_TOP},
-t(threshold) AS (VALUES (0.25::DOUBLE), (0.3), (0.35), (0.4)),
+WITH c AS (SELECT coalesce(a.label = b.label, true) AS same, round({_COS}, 6) AS cosine
+           FROM embeddings a LEFT JOIN embeddings b ON b.vec_id - 1 = a.vec_id),
+t(threshold) AS (VALUES (-0.1::DOUBLE), (0.0), (0.1), (0.25)),
 n AS (SELECT threshold, count(*) FILTER (same) AS genuine, count(*) FILTER (NOT same) AS other,
              count(*) FILTER (NOT same AND cosine >= threshold) AS false_matches,
-             count(*) FILTER (same AND cosine < threshold) AS false_non_matches
-      FROM top, t GROUP BY 1)
+             count(*) FILTER (same AND (cosine IS NULL OR cosine < threshold)) AS false_non_matches
+      FROM c, t GROUP BY 1)
 SELECT threshold, false_matches, false_non_matches,
        round(false_matches / nullif(other, 0), 6) AS false_match_rate,
        round(false_non_matches / nullif(genuine, 0), 6) AS false_non_match_rate
@@ -299,10 +297,10 @@ held AS (SELECT case_id, signal, CAST(weight * 1000000 AS BIGINT) AS w,
          FROM signals LEFT JOIN weights USING (signal))
 """
 
-_SPARSE = f"""
+_SCORED = f"""
 {_SIGNALS},
 {_HELD},
-sums AS (SELECT case_id, sum(w * v) AS wv, sum(w) AS w FROM held WHERE value >= 0.2 GROUP BY 1),
+sums AS (SELECT case_id, sum(w * v) AS wv, sum(w) AS w FROM held WHERE value IS NOT NULL GROUP BY 1),
 skip AS (SELECT c_custkey AS case_id, (2 * wv + 1000 * w) // (2000 * w) / 1000000 AS score
          FROM customer LEFT JOIN sums ON case_id = c_custkey)
 """
@@ -317,12 +315,12 @@ SELECT user_id AS case_id,
 FROM events GROUP BY 1
 """
 
-SQL["risk_score_skip"] = f"WITH {_SPARSE} SELECT case_id, score FROM skip"
-SQL["risk_score_zero"] = f"WITH {_SPARSE} SELECT case_id, (2 * wv + 1300000000) // 2600000000 / 1000000 AS score FROM sums"
-SQL["risk_score_worst"] = f"WITH {_SPARSE} SELECT case_id, (2 * (wv + (1300000 - w) * 1000000000) + 1300000000) // 2600000000 / 1000000 AS score FROM sums"
+SQL["risk_score_skip"] = f"WITH {_SCORED} SELECT case_id, score FROM skip"
+SQL["risk_score_zero"] = f"WITH {_SCORED} SELECT case_id, (2 * wv + 1300000000) // 2600000000 / 1000000 AS score FROM sums"
+SQL["risk_score_worst"] = f"WITH {_SCORED} SELECT case_id, (2 * (wv + (1300000 - w) * 1000000000) + 1300000000) // 2600000000 / 1000000 AS score FROM sums"
 
 SQL["risk_decision"] = f"""
-WITH {_SPARSE}
+WITH {_SCORED}
 SELECT case_id, score, CASE WHEN score IS NULL THEN 'review' WHEN score < 0.3 THEN 'clear'
                             WHEN score < 0.6 THEN 'review' ELSE 'refer' END AS decision
 FROM skip
@@ -516,9 +514,8 @@ edited AS (SELECT conv_id, turn, role, replace(text, 'tion', 'sion') AS text FRO
 
 SQL["trail_verify"] = f"""
 WITH {_EDITED.replace('length(text) < 60', "length(replace(text, 'tion', 'sion')) < 60")},
-stored_rows AS (SELECT * FROM conversations WHERE length(text) < 900),
-now_rows AS (SELECT * FROM edited WHERE length(text) > 40),
-{_digests('was', 'stored_rows')},
+now_rows AS (SELECT CASE WHEN conv_id % 11 = 0 THEN -1 - conv_id ELSE conv_id END AS conv_id, turn, role, text FROM edited),
+{_digests('was', 'conversations')},
 {_digests('now', 'now_rows')}
 SELECT coalesce(was.conv_id, now.conv_id) AS conv_id,
        CASE WHEN now.digest IS NULL THEN 'missing' WHEN was.digest IS NULL THEN 'extra'
@@ -568,7 +565,7 @@ SQL["live_registry_check"] = """
 SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'not_found' WHEN c_nationkey = user_id % 25 THEN 'found'
                       ELSE 'mismatch' END AS status,
        CASE WHEN c_custkey IS NOT NULL AND c_nationkey IS DISTINCT FROM user_id % 25 THEN 'c_nationkey' ELSE '' END AS differing
-FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = user_id
+FROM events LEFT JOIN customer ON c_custkey = CASE WHEN event_id % 10 = 0 THEN -user_id ELSE user_id END
 """
 
 SQL["live_join_within"] = """

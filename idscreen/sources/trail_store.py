@@ -1,23 +1,25 @@
-"""The trail on disk: parquet by day and batch."""
+"""The trail on disk: parquet by batch and day."""
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def trail_append(events: DataFrame, path: str, batch_id: str, ts: str) -> None:
-    """Write one batch; writing the same batch again replaces its days and leaves all others alone.
+    """Write one batch; writing the same batch again replaces it whole and leaves all others alone.
 
     Rows are rebalanced, so a day with most of the batch is written by several tasks.
     """
-    days = events.withColumns({"event_date": F.col(ts).cast("date"), "batch_id": F.lit(batch_id)})
+    days = events.withColumn("event_date", F.col(ts).cast("date"))
     (
         days.hint("rebalance", "event_date")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id")
-        .parquet(path)
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("event_date")
+        .parquet(f"{path}/batch_id={quote(batch_id, safe='')}")
     )
 
 

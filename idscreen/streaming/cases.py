@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "case_id STRING, status STRING, first_at TIMESTAMP, last_at TIMESTAMP, missing STRING"
@@ -75,7 +76,7 @@ def complete_cases(stream: DataFrame, required: Sequence[str], timeout_seconds:
     signal in each batch before the shuffle, so a case with very many rows sends few of them.
     """
     rows = stream.selectExpr("CAST(case_id AS STRING) AS case_id", "signal", "at").where(
-        "case_id IS NOT NULL AND signal IS NOT NULL AND at IS NOT NULL"
+        F.col("case_id").isNotNull() & F.col("signal").isin(*required) & F.col("at").isNotNull()
     )
     folded = rows.mapInPandas(_earliest, "case_id STRING, signal STRING, at TIMESTAMP")
     return (

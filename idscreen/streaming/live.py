@@ -35,8 +35,22 @@ def run_once(df: DataFrame, out: str, checkpoint: str, name: str | None = None)
     if name:
         writer = writer.queryName(name)
     query = writer.trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    progress = query.recentProgress
+    # Spark keeps only the latest reports, so they are gathered while the query runs.
+    seen: dict[int, list] = {}
+
+    def gather() -> None:
+        for p in query.recentProgress:
+            reports = seen.setdefault(p.batchId, [])
+            if all(p.timestamp != r.timestamp for r in reports):
+                reports.append(p)
+
+    while not query.awaitTermination(1):
+        gather()
+    gather()
+    missing = set(range(min(seen, default=0), max(seen, default=-1) + 1)) - set(seen)
+    if missing:
+        raise RuntimeError(f"no report is left of {len(missing)} batches; raise spark.sql.streaming.numRecentProgressUpdates")
+    progress = [p for reports in seen.values() for p in reports]
     return StreamRun(
         batches=len(progress),
         rows_in=sum(p.numInputRows for p in progress),

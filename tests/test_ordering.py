@@ -117,3 +117,13 @@ def test_cumulative(spark):
     for r in cumulative(df, "v", ["n"]).collect():
         want = sum(x * x + 1 for x in range(-20, 20) if x / 10 < r["v"])
         assert (r["below_n"], r["total_n"]) == (want, sum(x * x + 1 for x in range(-20, 20)))
+
+
+def test_micros_of_plain_timestamps_ignore_the_session_zone(spark):
+    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 01:30:00' AS a, TIMESTAMP_NTZ'2024-03-10 03:30:00' AS b")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows.select((micros("b") - micros("a")).alias("d")).collect()[0]["d"] == 7_200_000_000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -15,7 +15,6 @@ WITHOUT_SQL = {
     "near_vectors_lsh",
     "match_one_to_many_lsh",
     "stage_times_approx",
-    "scan_files",
 }
 
 
@@ -30,16 +29,6 @@ def test_every_query_has_sql_or_a_reason():
     assert set(contract.oracle_sql()) >= set(SQL)
 
 
-def test_files_are_scanned_whole(spark):
-    import hashlib
-    import pathlib
-
-    rows = QUERIES["scan_files"](spark, SMALL_DIR).collect()
-    found = {r["file"]: (r["length"], r["digest"]) for r in rows}
-    files = list(pathlib.Path(SMALL_DIR).glob("*.parquet"))
-    assert found == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in files}
-
-
 def test_flagship_entry(spark):
     total = contract.entry(spark).where("level = 7").collect()
     assert [r["cases"] for r in total] == [1_500]
@@ -52,11 +41,10 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
 
     from pyspark.cloudpickle import cloudpickle
 
-    from idscreen.plans.catalogue import _image_size
-    from idscreen.streaming.cases import _completion
+    from idscreen.streaming.cases import _completion, _earliest
 
     code = "import sys, pickle; print([f.__name__ for f in pickle.loads(sys.stdin.buffer.read())])"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    data = cloudpickle.dumps([_image_size, _completion(["a"], 1)])
+    data = cloudpickle.dumps([_earliest, _completion(["a"], 1)])
     done = subprocess.run([sys.executable, "-c", code], input=data, cwd=tmp_path, env=env, capture_output=True)
-    assert done.stdout.decode().strip() == "['_image_size', 'step']", done.stderr.decode()
+    assert done.stdout.decode().strip() == "['_earliest', 'step']", done.stderr.decode()

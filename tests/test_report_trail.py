@@ -81,6 +81,10 @@ def test_append_replaces_only_its_batch(spark, tmp_path):
     got = read_trail(spark, path, schema)
     assert sorted(r["seq"] for r in got.collect()) == [0, 1, 2, 3, 20, 21, 22, 23]
     assert got.where("event_date = DATE'2024-01-02' AND batch_id = 'one'").count() == 2
+    trail_append(first.where("seq = 0"), path, "two", "at")
+    trail_append(first.where("seq = 0"), path, "a/b = c", "at")
+    again = sorted((r["batch_id"], r["seq"]) for r in read_trail(spark, path, schema).collect())
+    assert again == [("a/b = c", 0), ("one", 0), ("one", 1), ("one", 2), ("one", 3), ("two", 0)]
 
 
 def test_row_digests_tell_shifted_separators_and_nulls_apart(spark):

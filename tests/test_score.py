@@ -47,10 +47,21 @@ def test_bands(spark):
         assert got == ["clear", "clear", "review", "review", "refer", "refer", "review"]
 
 
-def test_settings_are_bounded(spark):
+def test_settings_of_any_size(spark):
+    df = spark.createDataFrame([("c", "1", 1.0, AT, 1), ("c", "4999", 0.0, AT, 1)], SIGNALS)
+    weights = spark.range(5_000).selectExpr("string(id) AS signal", "IF(id = 1, 3000D, 0.0000001D) AS weight")
+    assert [r["score"] for r in score.risk_score(df, weights).collect()] == [1.0]
+    small = weights.selectExpr("signal", "IF(signal = '1', 0.0000003D, 0.0000001D) AS weight")
+    assert [r["score"] for r in score.risk_score(df, small).collect()] == [0.75]
+    bands = spark.range(5_000).selectExpr("id / 5000D AS lo", "(id + 1) / 5000D AS hi", "string(id) AS decision")
+    scores = spark.createDataFrame([(0.5,), (1.0,), (None,)], "score DOUBLE")
+    assert [r["decision"] for r in score.risk_decision(scores, bands).collect()] == ["2500", "4999", "review"]
+
+
+def test_weights_are_checked(spark):
     df = spark.createDataFrame([("c", "a", 1.0, AT, 1)], SIGNALS)
-    with pytest.raises(ValueError, match="at most"):
-        score.risk_score(df, spark.range(2_000).selectExpr("string(id) AS signal", "0.1D AS weight"))
+    with pytest.raises(Exception, match="negative"):
+        score.risk_score(df, spark.createDataFrame([("a", -1.0), ("b", 2.0)], "signal STRING, weight DOUBLE")).collect()
     with pytest.raises(ValueError, match="negative"):
         score.risk_score(df, [("a", -1.0), ("b", 2.0)])
     with pytest.raises(ValueError, match="missing"):
@@ -96,3 +107,6 @@ def test_error_rates(spark):
     truth = spark.createDataFrame([(1, True), (2, True), (3, False), (4, False)], "id INT, same BOOLEAN")
     got = [tuple(r) for r in score.match_error_rates(scored, truth, [0.5, 0.95], ["id"]).collect()]
     assert got == [(0.5, 1, 1, 0.5, 0.5), (0.95, 0, 2, 0.0, 1.0)]
+    more = truth.unionAll(spark.createDataFrame([(5, True), (6, False)], truth.schema))
+    points = spark.createDataFrame([(0.5,)], "threshold DOUBLE")
+    assert [tuple(r) for r in score.match_error_rates(scored, more, points, ["id"]).collect()] == [(0.5, 1, 2, 0.333333, 0.666667)]

@@ -52,6 +52,18 @@ def test_windows_and_late_rows(spark, folder):
     assert got == {0: 4, 60: 1, 180: 3, 360: 1}
 
 
+def test_counters_cover_every_batch_or_fail(spark, folder):
+    counts = live.window_counts(stream(spark, folder), "ts", [], "1 hour", None, "10 minutes")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        done, _ = run(spark, counts)
+        assert done.batches >= 4 and done.rows_in == 11 and done.rows_late == 1
+    except RuntimeError as error:
+        assert "no report is left" in str(error)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
 def test_sessions_equal_batch_when_closed(spark, folder):
     _, out = run(spark, live.live_sessions(stream(spark, folder), "case_id", "ts", "30 minutes", "10 minutes"))
     got = sorted((r["case_id"], r["session_start"], r["session_end"], r["events"]) for r in out.collect())
