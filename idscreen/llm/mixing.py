@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idscreen.llm.shared import BLANK, materialise
+from idscreen.llm.shared import BLANK, materialise, parallelism
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -136,7 +136,9 @@ def slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     counts = materialise(picked.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("_n")), "mix-counts")
     earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    numbered = counts.withColumn("_first", first).select(
+    # running counts of a source are one small window; dealt anew by shard, each is at most one shard of numbers
+    dealt = counts.withColumn("_first", first).repartition(parallelism(spark), "shard", "rank")
+    numbered = dealt.select(
         "shard", "rank", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias("number")
     )
     # surplus numbers, and the numbers that are missing elsewhere, are matched one to one by running order
@@ -252,12 +254,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     passes = passes.join(sized, ["rank", "start"]).select(
         F.col("doc_id").alias("_i"), F.col("content").alias("_c"), "start", "rank", "epoch", "_ranges", "_taken", "size"
     )
-    # rows equal in id and text are numbered on both sides, so that each gets passes of its own
+    # rows equal in id and text are numbered on both sides, so that each gets passes of its own; a hash orders them, since
+    # the order's key is shuffled with the row
     copies = Window.partitionBy("_i", "_c").orderBy("rank", "start")
     passes = passes.withColumn("_copy", F.dense_rank().over(copies))
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     whole = docs.select(content.alias("_content"), F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"))
-    whole = whole.withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_content").orderBy(F.to_json("_row"))))
+    whole = whole.withColumn("_number", F.row_number().over(Window.partitionBy("_id", "_content").orderBy(F.xxhash64(F.to_json("_row")))))
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_content") == F.col("_c")) & (F.col("_number") == F.col("_copy"))
     met = whole.join(passes, same)
     words = words_of(F.col("_row").getField(text))
