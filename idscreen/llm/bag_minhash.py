@@ -271,7 +271,9 @@ def classes(
     late = late.join(texts.alias("t"), same).select("field", "bag", "root", "apart", "sig", "text").dropDuplicates(["bag"])
     late = materialise(late, "apart")
     also = materialise(_late_links(late, m, band_rows, shingle_words, min_similarity), "late-links")
-    roots = components(near.unionByName(also))
+    # what is joined already goes in as stars, so that only the late links take rounds
+    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    roots = components(stars.unionByName(also.select("a", "b")))
     placed = bags.join(roots.withColumnRenamed("node", "bag"), "bag", "left").select(
         "bag", F.coalesce("root", "bag").alias("root"), "rep", "n"
     )

@@ -8,24 +8,26 @@ from pyspark.sql import functions as F
 from idscreen.llm.shared import materialise
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _lowest(links: DataFrame) -> DataFrame:
+    """(b, m): every node's smallest neighbour below it. Folded in every task before the shuffle."""
+    return links.groupBy("b").agg(F.min("a").alias("m"))
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Link every node's larger (or smaller) neighbours to the smallest of its neighbours and itself.
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every node's larger neighbours, linked to the smallest of its neighbours and itself instead.
 
-    The minimum is folded in every task before the shuffle, and neighbours meet it by a join, so a node with very many
-    neighbours is never one group in memory.
+    Links have a < b, and only neighbours below a node can be smaller than it, so neither star needs links both ways.
+    Neighbours meet the minimum by a join, so a node with very many of them is never one group in memory.
     """
-    both = _both_ways(links)
-    smallest = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    if larger:
-        moved = both.where("b > a").join(smallest, "a").select(F.col("m").alias("a"), "b")
-        return moved.where("a <> b").distinct()
-    down = both.where("b < a").join(smallest, "a").select(F.col("m").alias("a"), "b")
-    own = smallest.select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return down.unionByName(own).where("a <> b").distinct()
+    low = _lowest(links).withColumnRenamed("b", "a")
+    return links.join(low, "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours, linked to the smallest of them."""
+    low = _lowest(links)
+    moved = links.join(low, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return moved.unionByName(low.select(F.col("m").alias("a"), "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     before = mark(now)
     while before[0]:
-        now = materialise(order(_star(_star(now, True), False)), "links")
+        now = materialise(_small_star(_large_star(now)).distinct(), "links")
         after = mark(now)
         if after == before:
             break
