@@ -37,4 +37,28 @@ SELECT p.page_id, p.host, p.path, f.rule,
 FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id
 """
 
-SQL: dict[str, str] = {"op4_exact_dedup": OP4, "op6_url_filter": OP6}
+_WORDS = r"""list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP13 = f"""
+WITH items AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark),
+cut AS (
+    SELECT item_id, unnest(CASE WHEN len(w) >= 10 THEN [w[i:i + 9] for i in range(1, len(w) - 8)]
+                                WHEN len(w) > 0 THEN [w] ELSE [] END) AS win
+    FROM items
+), docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (
+    SELECT doc_id, n, i, w[i:i + n - 1] AS win
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM docs, (SELECT DISTINCT len(win)::BIGINT AS n FROM cut) sizes)
+), hits AS (SELECT doc_id, n, i, item_id FROM places JOIN (SELECT DISTINCT * FROM cut) USING (win)),
+hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY 1),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+          FROM hits GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_exact_dedup": OP4, "op6_url_filter": OP6, "op13_decontamination": OP13}

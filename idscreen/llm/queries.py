@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.llm import bag_minhash, byte_bpe, exact_dedup, licenses, mixing, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
+from idscreen.llm import bag_minhash, byte_bpe, decontaminate, exact_dedup, licenses, mixing, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import table
 
@@ -100,6 +100,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_ratio.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -113,5 +125,6 @@ QUERIES = {
         op8_substring_dedup,
         op9_token_orc,
         op10_quality_rules,
+        op13_decontamination,
     )
 }
