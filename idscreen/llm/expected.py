@@ -53,7 +53,7 @@ places AS (
     FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
           FROM docs, (SELECT DISTINCT len(win)::BIGINT AS n FROM cut) sizes)
 ), hits AS (SELECT doc_id, n, i, item_id FROM places JOIN (SELECT DISTINCT * FROM cut) USING (win)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY 1),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY 1),
 found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
           FROM hits GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
@@ -61,4 +61,123 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op4_exact_dedup": OP4, "op6_url_filter": OP6, "op13_decontamination": OP13}
+# One state per column, each the cheapest (cost, audit) that leads there; least() takes the audit that comes first.
+_KEEP = "CASE WHEN NOT forced AND initial = '{i}' THEN {{'c': {s}.c + extra, 'a': {s}.a || 'K'}} ELSE far END"
+_REROLE = "CASE WHEN NOT forced THEN {{'c': {s}.c + 3 + extra, 'a': {s}.a || 'R'}} ELSE far END"
+_DELETE = "{{'c': {s}.c + 4, 'a': {s}.a || 'D'}}"
+_INSERT = "{{'c': {s}.c + 3, 'a': {s}.a || 'I'}}"
+
+
+def _into_user(frm: str) -> str:
+    return f"{_KEEP.format(i='u', s=frm)}, {_REROLE.format(s=frm)}"
+
+
+OP11 = rf"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(list_prepend(n, range(8)), lambda x, y:
+               CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY n) AS tab
+    FROM range(256) AS t(n)
+), damage AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295, list_transform(string_split(
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+               lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 20 AS kind
+    FROM conversations, crc
+), rows AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM damage
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+           rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+    FROM rows
+), faulty AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+                   WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS previous
+    FROM placed
+), counts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+), steps AS (
+    SELECT conv_id, k, initial, fault IN ('blank', 'duplicate') AS forced,
+           CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra, {{'c': 1000000000, 'a': ''}} AS far
+    FROM faulty
+), dp AS (
+    SELECT conv_id, 0::BIGINT AS k, {{'c': 0, 'a': ''}} AS s0, {{'c': 1000000000, 'a': ''}} AS s1,
+           {{'c': 3, 'a': 'I'}} AS s2, {{'c': 6, 'a': 'II'}} AS s3
+    FROM counts
+    UNION ALL
+    SELECT conv_id, k, s0, s1, least(s2, {_INSERT.format(s='s0')}, {_INSERT.format(s='s1')}, {_INSERT.format(s='s3')}),
+           least(s3, {_INSERT.format(s='s2')}, {{'c': least(s0, s1).c + 6, 'a': least(s0, s1).a || 'II'}})
+    FROM (
+        SELECT conv_id, steps.k, far, {_DELETE.format(s='s0')} AS s0,
+               least({_DELETE.format(s='s1')}, {_KEEP.format(i='s', s='s0')}) AS s1,
+               least({_DELETE.format(s='s2')}, {_into_user('s0')}, {_into_user('s1')}, {_into_user('s3')}) AS s2,
+               least({_DELETE.format(s='s3')}, {_KEEP.format(i='a', s='s2')}, {_REROLE.format(s='s2')}) AS s3
+        FROM dp JOIN steps USING (conv_id) WHERE steps.k = dp.k + 1
+    )
+), best AS (
+    SELECT conv_id, least(s0, s3).c AS cost, least(s0, s3).a AS audit FROM dp JOIN counts USING (conv_id) WHERE k = n
+), letters AS (
+    SELECT conv_id, j, audit[j] AS e, length(replace(audit, 'D', '')) % 2 AS odd,
+           length(replace(left(audit, j), 'I', '')) AS k, length(replace(left(audit, j), 'D', '')) AS place
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM best)
+), lines AS (
+    SELECT l.conv_id, j, CASE WHEN e = 'K' THEN role WHEN (place + odd) % 2 = 1 THEN 'user' ELSE 'assistant' END
+               || ':' || CASE WHEN e = 'I' THEN '' ELSE text END AS line
+    FROM letters l LEFT JOIN placed p ON p.conv_id = l.conv_id AND p.k = l.k WHERE e <> 'D'
+), texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS repaired FROM lines GROUP BY conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations)
+LEFT JOIN counts USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN texts USING (conv_id)
+"""
+
+OP12 = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), split AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), grams AS (
+    SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, range(1, 5) AS sizes(size))
+), f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE size >= 2 AND a >= 30),
+cuts AS (SELECT lang, phrase, w, a, unnest(range(1, size)) AS k FROM found),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+    FROM cuts c
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+    SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a AS longer
+    FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM found))
+), alone AS (
+    SELECT * FROM lowest q WHERE NOT EXISTS (
+        SELECT 1 FROM inner_ i WHERE i.lang = q.lang AND i.phrase = q.phrase AND 100 * i.longer >= 80 * q.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {
+    "op4_exact_dedup": OP4,
+    "op6_url_filter": OP6,
+    "op11_conversation_repair": OP11,
+    "op12_collocations": OP12,
+    "op13_decontamination": OP13,
+}

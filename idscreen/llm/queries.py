@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.llm import bag_minhash, byte_bpe, decontaminate, exact_dedup, licenses, mixing, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
+from idscreen.llm import bag_minhash, byte_bpe, collocations, conversations, decontaminate, exact_dedup, licenses, mixing, ngram_ratio, quality_classifier, substring_dedup, token_orc, url_filter
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import table
 
@@ -100,6 +100,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_ratio.quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return conversations.repair(rows)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -125,6 +134,8 @@ QUERIES = {
         op8_substring_dedup,
         op9_token_orc,
         op10_quality_rules,
+        op11_conversation_repair,
+        op12_collocations,
         op13_decontamination,
     )
 }
