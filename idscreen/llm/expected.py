@@ -151,15 +151,16 @@ WITH pieces AS (
 ), grams AS (
     SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
     FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, range(1, 5) AS sizes(size))
-), f AS (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+), f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a, lang || chr(10) || phrase AS key FROM grams GROUP BY ALL),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
-found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE size >= 2 AND a >= 30),
-cuts AS (SELECT lang, phrase, w, a, unnest(range(1, size)) AS k FROM found),
-scored AS (
+found AS MATERIALIZED (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE size >= 2 AND a >= 30),
+cuts AS MATERIALIZED (
+    SELECT lang, phrase, a, k, lang || chr(10) || array_to_string(w[1:k], ' ') AS head,
+           lang || chr(10) || array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM found)
+), scored AS (
     SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
-    FROM cuts c
-    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
-    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+    FROM cuts c JOIN f x ON x.key = c.head JOIN f y ON y.key = c.tail
 ), lowest AS (
     SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inner_ AS (
