@@ -135,7 +135,8 @@ def inclusion_proofs(tree: DataFrame, wanted: DataFrame, case: str, fanout: int
     step = F.pow(F.lit(float(fanout)), F.col("_level") + 1)
     placed = levels.withColumn("_up", F.floor(F.col("leaf") / step).cast("bigint"))
     above = F.floor(F.col("node") / fanout).cast("bigint")
-    nodes = tree.withColumn("_parent", above)
+    tops = tree.groupBy(case).agg(F.max("level").alias("_top")).withColumnRenamed(case, "_top_case")
+    nodes = tree.join(tops, tree[case].eqNullSafe(F.col("_top_case"))).where("level < _top").withColumn("_parent", above)
     same = nodes[case].eqNullSafe(F.col("_case")) & (F.col("level") == F.col("_level")) & (F.col("_parent") == F.col("_up"))
     return nodes.join(placed, same).select(case, "leaf", "level", "node", "digest")
 
@@ -161,5 +162,6 @@ def proven(proofs: DataFrame, leaves: DataFrame, roots: DataFrame, case: str, fa
     met = met.join(ends, F.col("_case").eqNullSafe(F.col("_root_case")), "left")
     start = F.struct(F.col("_leaf").alias("node"), F.col("_claimed").alias("digest"))
     steps = F.coalesce("path", F.array().cast("array<struct<level:int,children:array<struct<node:bigint,digest:string>>>>"))
-    top = F.aggregate(steps, start, climb, lambda s: s["digest"])
+    # the way up must end at the root's own place, which a trail of one row tells by nothing else
+    top = F.aggregate(steps, start, climb, lambda s: F.when(s["node"] == 0, s["digest"]))
     return met.select(F.col("_case").alias(case), F.col("_leaf").alias("leaf"), F.coalesce(top == F.col("_root"), F.lit(False)).alias("holds"))

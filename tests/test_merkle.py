@@ -55,6 +55,17 @@ def test_values_cannot_move_between_places(spark):
     assert _changes(_tree(spark, a), _tree(spark, b)) == [("c", 0, "changed"), ("c", 1, "changed")]
 
 
+def test_proofs_of_cases_of_different_height(spark):
+    rows = _rows({"one": 1, "four": 4, "five": 5, "long": 70, None: 3})
+    tree, leaves = _tree(spark, rows), merkle.trail_leaves(_trail(spark, rows), "case_id", "seq")
+    roots = tree.groupBy("case_id").agg(F.max_by("digest", "level").alias("digest"))
+    proofs = merkle.inclusion_proofs(tree, leaves, "case_id", 4)
+    told = merkle.proven(proofs, leaves, roots, "case_id", 4).collect()
+    assert len(told) == len(rows) and all(r.holds for r in told)
+    moved = leaves.withColumn("node", F.col("node") + 1)
+    assert not any(r.holds for r in merkle.proven(proofs, moved, roots, "case_id", 4).collect())
+
+
 def test_written_tree_and_few_digests_read(spark, tmp_path):
     n, fanout = 100_000, 32
     base = spark.range(n).select(F.lit("big").alias("case_id"), F.col("id").alias("seq"), F.lit("a").alias("actor"), F.col("id").cast("string").alias("payload"))
