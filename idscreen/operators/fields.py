@@ -58,6 +58,10 @@ def validate_order(df: DataFrame, earlier: str, later: str) -> DataFrame:
     return df.where(F.col(later) < F.col(earlier))
 
 
+# Pairs that one segment may bring together before its values are compared by what is left after deletions.
+HOT_PAIRS = 1_000_000
+
+
 def field_conflicts(fields: DataFrame, entity_keys: Sequence[str], field: str) -> DataFrame:
     """Every value of `field` for entities that have more than one: (keys, field, readings, n_values).
 
@@ -72,13 +76,17 @@ def field_conflicts(fields: DataFrame, entity_keys: Sequence[str], field: str) -
 
 
 def fuzzy_matches(
-    left: DataFrame, right: DataFrame | None, block: Sequence[str], col: str, max_dist: int
+    left: DataFrame, right: DataFrame | None, block: Sequence[str], col: str, max_dist: int, hot_pairs: int = HOT_PAIRS
 ) -> DataFrame:
     """Pairs of values within `max_dist` edits inside a block, with the number of rows that hold each.
 
     With `right` None, pairs inside `left`, each once with the smaller value first. Values are folded first.
-    Candidates share what is left after deleting up to `max_dist` characters from each, so a long beginning
-    common to all values brings no pairs together.
+
+    A right value is cut into max_dist + 1 segments; a left value within `max_dist` edits holds one of them unchanged, and
+    little moved (Pass-Join, Li et al. 2011). So candidates share a segment, and a value has a number of probes that does not
+    grow with its length. Segments that would bring more than `hot_pairs` pairs together, such as a beginning common to all values, are
+    left out; values that meet in one, and values too short to be cut, share instead what is left after deleting up to
+    `max_dist` characters from each.
     """
     keys = list(block)
 
@@ -89,13 +97,29 @@ def fuzzy_matches(
     def variants(values: DataFrame, side: str) -> DataFrame:
         return values.withColumn("_variant", F.explode(text.deletions(F.col(f"{side}_value"), max_dist)))
 
-    a = variants(folded(left, "left"), "left")
-    b = variants(folded(left if right is None else right, "right"), "right")
+    a = folded(left, "left")
+    b = folded(left if right is None else right, "right")
+    probes = a.select("*", F.inline(text.segment_probes(F.col("left_value"), max_dist)))
+    segments = b.select("*", F.inline(text.segments(F.col("right_value"), max_dist)))
+    found_by = [*keys, "_length", "_number", "_segment"]
+    count = F.count(F.lit(1))
+    met = probes.groupBy(*found_by).agg(count.alias("_l")).join(segments.groupBy(*found_by).agg(count.alias("_r")), found_by)
+    hot = met.where(F.col("_l").cast("double") * F.col("_r") > hot_pairs).select(*found_by)
+    pairs = [*keys, "left_value", "right_value", "left_rows", "right_rows"]
+    near = probes.join(hot, found_by, "left_anti").join(segments, found_by).select(*pairs)
+
+    def apart(values: DataFrame, cut: DataFrame, side: str, longest: int) -> DataFrame:
+        """Values that meet in a hot segment, and short ones."""
+        in_hot = cut.join(hot, found_by, "left_semi").select(*keys, f"{side}_value", f"{side}_rows")
+        return in_hot.unionByName(values.where(F.char_length(f"{side}_value") <= longest)).distinct()
+
+    lefts = variants(apart(a, probes, "left", 2 * max_dist), "left")
+    rights = variants(apart(b, segments, "right", max_dist), "right")
     close = F.col("distance") >= 0
     if right is None:
         close = close & (F.col("left_value") < F.col("right_value"))
     return (
-        a.join(b, [*keys, "_variant"])
+        near.unionByName(lefts.join(rights, [*keys, "_variant"]).select(*pairs))
         .withColumn("distance", F.levenshtein("left_value", "right_value", max_dist).cast("bigint"))
         .where(close)
         .select(*keys, "left_value", "right_value", "left_rows", "right_rows", "distance")

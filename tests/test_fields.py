@@ -3,6 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
+
+from pyspark.sql import functions as F
+
 from idscreen.operators import fields
 
 
@@ -78,6 +82,37 @@ def test_fuzzy_against_all_pairs(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("hot_pairs", [0, 3, 10**6])
+def test_fuzzy_short_and_edited_values(spark, hot_pairs):
+    rng = random.Random(7)
+    made = {"", "A", "AB", "BA", "ABC", "Ü", "ÜB", "日本", "日本語"}
+    for _ in range(40):
+        made.add("".join(rng.choice("AÜB") for _ in range(rng.randint(1, 12))))
+    for value in list(made)[:30]:
+        letters = list(value + "AB")
+        for _ in range(rng.randint(1, 4)):
+            place = rng.randrange(len(letters) + 1)
+            letters[place : place + rng.randint(0, 1)] = rng.choice(["", "B", "Ü"])
+        made.add("".join(letters))
+    names = sorted(made)
+    a, b = names[::2], names[1::2]
+    frames = [spark.createDataFrame([(1, n) for n in side], "block INT, name STRING") for side in (a, b)]
+    for k in (1, 2, 3):
+        got = {(r[1], r[2], r[5]) for r in fields.fuzzy_matches(*frames, ["block"], "name", k, hot_pairs=hot_pairs).collect()}
+        assert got == {(x, y, lev(x, y)) for x in a for y in b if lev(x, y) <= k}, k
+
+
+def test_fuzzy_candidates_do_not_grow_with_length(spark):
+    from idscreen.functions import text
+
+    sizes = []
+    for length in (30, 300):
+        frame = spark.createDataFrame([("".join(chr(65 + (k * k + k // 7) % 26) for k in range(length)),)], "v STRING")
+        row = frame.select(F.size(text.segment_probes(F.col("v"), 3)).alias("probes"), F.size(text.segments(F.col("v"), 3)).alias("s"))
+        sizes.append(tuple(row.first()))
+    assert sizes[0][0] <= 60 and sizes[1] == sizes[0] and sizes[0][1] == 4
+
+
 def test_fuzzy_two_sides_counts_rows(spark):
     left = spark.createDataFrame([("b", "ANNA"), ("b", "ANNA"), ("b", "OTTO")], "block STRING, name STRING")
     right = spark.createDataFrame([("b", "ANA"), ("b", "ANNA"), ("c", "OTTO")], "block STRING, name STRING")
