@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.operators import fields, registry, report, reuse, score, trail, vectors
+from idscreen.operators import fields, gallery, merkle, registry, report, reuse, score, trail, vectors
 from idscreen.plans import flagship
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import SCHEMAS, table
 from idscreen.sources.trail_store import read_trail, trail_append
-from idscreen.streaming import cases, live
+from idscreen.streaming import as_of, cases, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -257,6 +257,16 @@ def match_one_to_many_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.match_one_to_many(faces, faces, "vec_id", "embedding", 5, method="lsh", bits=4)
 
 
+@query
+def match_one_to_many_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every face, altered, is looked up in an index of two batches."""
+    faces, path = _faces(spark, sf_dir), fresh_dir(spark, "gallery")
+    gallery.create_index(faces.where("vec_id % 5 > 0"), path, "vec_id", "embedding")
+    gallery.add_to_index(faces.where("vec_id % 5 = 0"), path, "vec_id", "embedding", "later")
+    altered = F.transform("embedding", lambda x, i: x.cast("double") + F.get("embedding", (i + 1) % F.size("embedding")) / 4)
+    return gallery.search_index(faces.select("vec_id", altered.alias("embedding")), path, "vec_id", "embedding", 1)
+
+
 @query
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_faces(spark, sf_dir), "vec_id", "embedding", 0.3)
@@ -487,6 +497,24 @@ def trail_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trail.trail_diff(table(spark, sf_dir, "conversations"), _edited(spark, sf_dir))
 
 
+@query
+def trail_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns differ from the conversations that a digest tree was made of."""
+    then, now = table(spark, sf_dir, "conversations"), _edited(spark, sf_dir)
+    trees = [merkle.trail_tree(rows, "conv_id", "turn", CONVERSATION, fanout=4) for rows in (then, now)]
+    return merkle.tree_changes(*trees, "conv_id", fanout=4).withColumnRenamed("node", "turn")
+
+
+@query
+def trail_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of the edited conversations, each held against the proof of its place in the original ones."""
+    tree = merkle.trail_tree(table(spark, sf_dir, "conversations"), "conv_id", "turn", CONVERSATION, fanout=4)
+    claimed = merkle.trail_leaves(_edited(spark, sf_dir), "conv_id", "turn", CONVERSATION)
+    roots = tree.groupBy("conv_id").agg(F.max_by("digest", "level").alias("digest"))
+    proofs = merkle.inclusion_proofs(tree, claimed, "conv_id", fanout=4)
+    return merkle.proven(proofs, claimed, roots, "conv_id", fanout=4)
+
+
 @query
 def trail_append_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "trail")
@@ -545,6 +573,29 @@ def live_registry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.finish(checked.select("event_id", "status", F.array_join("differing", ",").alias("differing")))
 
 
+@query
+def live_registry_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases with the latest view before them, both as streams."""
+    purchases = _stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = _stream(spark, sf_dir).where("event_type = 'view'").select(
+        F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value")
+    )
+    looked_up = as_of.live_registry_as_of(
+        purchases,
+        views,
+        "user_id",
+        "ts",
+        record_order="event_id",
+        version_ts="view_ts",
+        version_order="view_id",
+        values=["view_id", "view_value"],
+        delay="1 hour",
+        spread=2,
+    )
+    with as_of.rocksdb_state(spark):
+        return _ntz(live.finish(looked_up), "ts", "version_from")
+
+
 @query
 def live_join_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = _stream(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"))

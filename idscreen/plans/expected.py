@@ -251,6 +251,15 @@ top AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY cosine DESC,
 
 SQL["match_one_to_many"] = f"WITH {_TOP} SELECT probe_id, gallery_id, cosine, place FROM top"
 
+SQL["match_one_to_many_indexed"] = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT vec_id, list_transform(e, lambda x, i: x + e[1 + i % len(e)] / 4) AS e FROM v),
+c AS (SELECT p.vec_id AS probe_id, v.vec_id AS gallery_id, round(list_cosine_similarity(p.e, v.e), 6) AS cosine FROM p, v)
+SELECT probe_id, gallery_id, cosine, place
+FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY cosine DESC, gallery_id) AS place FROM c)
+WHERE place = 1
+"""
+
 SQL["near_vectors"] = f"""
 SELECT a.vec_id AS id_a, b.vec_id AS id_b, round({_COS}, 6) AS cosine
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.3
@@ -532,6 +541,20 @@ SELECT *, 'added' AS change, count(*) AS n FROM added GROUP BY ALL
 UNION ALL SELECT *, 'removed', count(*) FROM removed GROUP BY ALL
 """
 
+SQL["trail_changes"] = f"""
+WITH {_EDITED}
+SELECT coalesce(c.conv_id, e.conv_id) AS conv_id, coalesce(c.turn, e.turn) AS turn,
+       CASE WHEN e.conv_id IS NULL THEN 'missing' WHEN c.conv_id IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM conversations c FULL JOIN edited e ON c.conv_id = e.conv_id AND c.turn = e.turn
+WHERE c.conv_id IS NULL OR e.conv_id IS NULL OR c.text IS DISTINCT FROM e.text
+"""
+
+SQL["trail_proofs"] = f"""
+WITH {_EDITED}
+SELECT e.conv_id, e.turn AS leaf, c.text IS NOT DISTINCT FROM e.text AS holds
+FROM edited e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = e.turn
+"""
+
 SQL["trail_append_and_read"] = """
 SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS event_date,
        CASE WHEN event_type = 'error' THEN 'second' ELSE 'first' END AS batch_id
@@ -568,6 +591,12 @@ SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'not_found' WHEN c_nationkey =
 FROM events LEFT JOIN customer ON c_custkey = CASE WHEN event_id % 10 = 0 THEN -user_id ELSE user_id END
 """
 
+SQL["live_registry_as_of"] = f"""
+WITH {_AS_OF},
+closed AS (SELECT date_trunc('millisecond', least((SELECT max(ts) FROM r), (SELECT max(view_ts) FROM v))) - INTERVAL 1 HOUR AS until)
+SELECT event_id, user_id, ts, version_from, view_id, view_value FROM found, closed WHERE ts <= until
+"""
+
 SQL["live_join_within"] = """
 SELECT a.user_id, a.event_id AS view_id, a.ts AS view_ts, b.event_id AS purchase_id, b.ts AS purchase_ts
 FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOUR
