@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ GOLDEN = 0x9E3779B97F4A7C15
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table once in the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
+    return written(df, purpose)[0]
+
+
+def written(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The same, with the folder, for `remove` once all that is made of the table is written itself."""
     spark, path = df.sparkSession, fresh_dir(df.sparkSession, purpose)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # what the write shuffled is not needed once it is written
@@ -29,7 +35,14 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that `written` made."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def keep_one(docs: DataFrame, id_col: str, key: Column, stay: DataFrame) -> DataFrame:
@@ -66,6 +79,17 @@ def binary_values(column: pa.Array) -> Iterator[bytes]:
             yield value or b""
 
 
+def byte_slices(batch: pa.RecordBatch, text: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about `limit` bytes of its column number `text`, at least one row each."""
+    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the words seen most recently. Bounded, so a long task cannot grow it."""
 
