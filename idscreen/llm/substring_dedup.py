@@ -23,15 +23,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from idscreen.llm.shared import Rolling, WordHashes, binary_values, materialise, mixed
+from idscreen.llm.shared import Rolling, WordHashes, binary_values, byte_slices, materialise, mixed, remove, written
 
 WINDOW_WORDS = 50
 CELL_ENTRIES = 1_000_000
 SALT_DOCUMENTS = 2_000_000
+BUCKET_BYTES = 16 << 20
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -87,13 +87,18 @@ def _smallest(cells: DataFrame, salts: int, width: str, indexed: Callable[[np.nd
     return cells.groupBy("cell").applyInPandas(fold, "part bigint, prints binary, owners binary")
 
 
-def _hits(cells: DataFrame, index: DataFrame, salts: int, width: str, parts: int, with_owner: bool) -> DataFrame:
-    """(doc_id, part, prints): entries whose print is indexed for a smaller document; on wish the owner's entry too."""
+def _hits(cells: DataFrame, index: DataFrame, salts: int, width: str, buckets: int, with_owner: bool) -> DataFrame:
+    """(doc_id, keys): entries whose print is indexed for a smaller document; on wish the owner's entry too.
+
+    Cells find hits, documents need theirs from all cells. On the way hits are packed by cell and bucket of documents, so that
+    there are never as many rows as documents times cells; a bucket's hits, which follow its documents' texts, are then dealt
+    to its documents. A key is a print with its part above it, where prints are short.
+    """
     spread = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = spread.select((F.col("part") * salts + F.col("_salt")).alias("cell"), "prints", "owners")
 
     def find(key: tuple, entries: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        nothing = pd.DataFrame({"doc_id": [], "part": [], "prints": []})
+        nothing = pd.DataFrame({"bucket": [], "part": [], "docs": [], "counts": [], "prints": []})
         if not len(entries) or not len(known):
             return nothing
         prints = np.frombuffer(b"".join(known["prints"]), width)
@@ -117,21 +122,39 @@ def _hits(cells: DataFrame, index: DataFrame, salts: int, width: str, parts: int
         doc, probe = doc[new], probe[new]
         if not len(doc):
             return nothing
+        bucket = _bucket(doc, buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc, probe = bucket[order], doc[order], probe[order]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(bucket)]):
+            docs, counts = np.unique(doc[a:b], return_counts=True)  # in order already
+            part = int(key[0]) // salts
+            rows.append((int(bucket[a]), part, docs.tobytes(), counts.astype("<u4").tobytes(), probe[a:b].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "part", "docs", "counts", "prints"])
+
+    def deal(frame: pd.DataFrame) -> pd.DataFrame:
+        doc, prints = _unpacked(frame, width)
+        keys = prints.astype("<u8")
+        if width == "<u4":
+            sizes = [len(x) // 4 for x in frame["prints"]]
+            keys |= np.repeat(frame["part"].to_numpy().astype("<u8"), sizes) << np.uint64(32)
+        order = np.argsort(doc, kind="stable")
+        doc, keys = doc[order], keys[order]
         starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
         ends = np.r_[starts[1:], len(doc)]
-        return pd.DataFrame(
-            {
-                "doc_id": doc[starts],
-                "part": int(key[0]) // salts,
-                "prints": [probe[a:b].tobytes() for a, b in zip(starts, ends)],
-            }
-        )
+        return pd.DataFrame({"doc_id": doc[starts], "keys": [keys[a:b].tobytes() for a, b in zip(starts, ends)]})
 
-    return (
+    found = (
         cells.groupBy("cell")
         .cogroup(spread.groupBy("cell"))
-        .applyInPandas(find, "doc_id bigint, part bigint, prints binary")
+        .applyInPandas(find, "bucket bigint, part bigint, docs binary, counts binary, prints binary")
     )
+    return found.groupBy("bucket").applyInPandas(deal, "doc_id bigint, keys binary")
+
+
+def _bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(doc.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
 
 
 class _Words:
@@ -152,7 +175,7 @@ def _probes(texts: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in byte_slices(whole, 1):
                 ids = np.asarray(batch.column(0))
                 hashes = []
                 for raw in binary_values(batch.column(1)):
@@ -166,17 +189,6 @@ def _probes(texts: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     return texts.mapInArrow(pack, _CELLS)
 
 
-def _slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in pieces of about `limit` bytes of text, at least one row each."""
-    sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def _windows(met: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     """Cells of the windows around hits, of (doc_id, text, live): each distinct window of a document once."""
     block = window // 2
@@ -184,7 +196,7 @@ def _windows(met: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in byte_slices(whole, 1):
                 ids = np.asarray(batch.column(0))
                 hashes = []
                 for raw, live in zip(binary_values(batch.column(1)), batch.column(2).to_pylist()):
@@ -194,7 +206,7 @@ def _windows(met: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
                         continue
                     small = words.rolling.windows(h, block) & ~np.uint64(1)
                     key = (_part(small, parts) << np.uint64(32)) | (small & np.uint64(0xFFFFFFFF))
-                    hit = np.isin(key, np.frombuffer(b"".join(live), "<u8"))
+                    hit = np.isin(key, np.frombuffer(live or b"", "<u8"))
                     counts = np.r_[0, np.cumsum(hit)]
                     inside = window - block + 1
                     near = counts[inside : len(h) - window + 1 + inside] > counts[: len(h) - window + 1]
@@ -205,10 +217,6 @@ def _windows(met: DataFrame, window: int, parts: int, salts: int) -> DataFrame:
     return met.mapInArrow(pack, _CELLS)
 
 
-def _keys(part: np.ndarray, prints: bytes) -> bytes:
-    return ((np.uint64(part) << np.uint64(32)) | np.frombuffer(prints, "<u4").astype(np.uint64)).tobytes()
-
-
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -216,6 +224,7 @@ def remove_repeats(
     window: int = WINDOW_WORDS,
     cell_entries: int = CELL_ENTRIES,
     salt_documents: int = SALT_DOCUMENTS,
+    bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): texts without the words of windows that a smaller document holds too.
 
@@ -228,10 +237,13 @@ def remove_repeats(
     known = narrow.where("doc_id is not null")
     size, count = known.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     salts = max(1, -(-count // salt_documents))
+    buckets = max(1, -(-(size or 0) // bucket_bytes))
     parts = max(1, min(1 << 30, -(-(size or 0) // (4 * cell_entries * salts))))
 
-    probes = materialise(_probes(known, window, parts, salts), "probes")
-    index = materialise(_smallest(probes, salts, "<u4", lambda p: (p & np.array(1, "<u4")).astype(bool)), "anchors")
+    # every table is removed once what is made of it is written
+    spark = docs.sparkSession
+    probes, probes_at = written(_probes(known, window, parts, salts), "probes")
+    index, index_at = written(_smallest(probes, salts, "<u4", lambda p: (p & np.array(1, "<u4")).astype(bool)), "anchors")
 
     def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,31 +251,27 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), b.column(2)], names=b.schema.names)
 
     index = index.mapInArrow(unmarked, index.schema)
-    hits = _hits(probes, index, salts, "<u4", parts, with_owner=True)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [_keys(p, x) for p, x in zip(b.column(1).to_pylist(), binary_values(b.column(2)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["doc_id", "keys"])
-
-    live = materialise(hits.mapInArrow(keyed, "doc_id bigint, keys binary"), "hits")
-    live = live.groupBy("doc_id").agg(F.collect_list("keys").alias("live"))
+    hits = _hits(probes, index, salts, "<u4", buckets, with_owner=True).withColumnRenamed("keys", "live")
+    live, live_at = written(hits, "hits")
+    remove(spark, probes_at, index_at)
     met = known.join(live.hint("merge"), "doc_id").select("doc_id", "text", "live")
-    windows = materialise(_windows(met, window, parts, salts), "windows")
-    owners = materialise(_smallest(windows, salts, "<u8", lambda p: np.ones(len(p), bool)), "owners")
-    repeated = materialise(_hits(windows, owners, salts, "<u8", parts, with_owner=False).select("doc_id", "prints"), "repeats")
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list("prints").alias("gone"))
+    windows, windows_at = written(_windows(met, window, parts, salts), "windows")
+    remove(spark, live_at)
+    owners, owners_at = written(_smallest(windows, salts, "<u8", lambda p: np.ones(len(p), bool)), "owners")
+    repeated = _hits(windows, owners, salts, "<u8", buckets, with_owner=False).withColumnRenamed("keys", "gone")
+    repeated = materialise(repeated, "repeats")
+    remove(spark, windows_at, owners_at)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for whole in batches:
-            for batch in _slices(whole):
+            for batch in byte_slices(whole, 1):
                 total, removed, left = [], [], []
                 for raw, gone in zip(binary_values(batch.column(1)), batch.column(2).to_pylist()):
                     own, h = words.of(raw)
                     keep = np.ones(len(own), bool)
                     if gone and len(own) >= window:
-                        first = np.isin(words.rolling.windows(h, window), np.frombuffer(b"".join(gone), "<u8"))
+                        first = np.isin(words.rolling.windows(h, window), np.frombuffer(gone, "<u8"))
                         edges = np.zeros(len(own) + 1, np.int64)
                         at = np.flatnonzero(first)
                         np.add.at(edges, at, 1)
