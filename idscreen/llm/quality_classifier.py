@@ -129,20 +129,18 @@ def train(
 
 def add_score(docs: DataFrame, weights: np.ndarray, text: str, name: str) -> DataFrame:
     """Adds the probability of label 1. The weights go to the executors once; their size is fixed by the bits."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     bits = (len(weights) - 1).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only texts go to Python and only scores come back; other columns stay where they are
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, grams = shared.value.astype(np.float64), NGrams(bits)
-        for batch in batches:
+        for column in texts:
             scores = []
-            for raw in binary_values(batch.column(text)):
+            for raw in binary_values(column):
                 index, values = grams.of(raw)
                 scores.append(_sigmoid(w[index] @ values))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name]
-            )
+            yield pa.array(scores, pa.float64())
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return docs.withColumn(name, score(F.col(text)))
