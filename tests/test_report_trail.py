@@ -70,21 +70,39 @@ def test_diff_counts_duplicates(spark):
     assert got == [("a", 1, "removed", 2), ("b", None, "added", 2), ("c", 2, "added", 1)]
 
 
-def test_append_replaces_only_its_batch(spark, tmp_path):
+def test_append_only_adds(spark, tmp_path):
     at = datetime(2024, 1, 1)
     schema = "case_id STRING, seq INT, at TIMESTAMP_NTZ"
     first = spark.createDataFrame([("c", i, at + timedelta(hours=12 * i)) for i in range(4)], schema)
     path = str(tmp_path / "trail")
     trail_append(first, path, "one", "at")
     trail_append(first.withColumn("seq", F.col("seq") + 10), path, "two", "at")
-    trail_append(first.withColumn("seq", F.col("seq") + 20), path, "two", "at")
+    trail_append(first.orderBy(F.desc("seq")).withColumn("seq", F.col("seq") + 10), path, "two", "at")  # the same rows
+    for other in (first.withColumn("seq", F.col("seq") + 20), first.where("seq = 0"), first.union(first)):
+        with pytest.raises(ValueError, match="other rows"):
+            trail_append(other, path, "two", "at")
     got = read_trail(spark, path, schema)
-    assert sorted(r["seq"] for r in got.collect()) == [0, 1, 2, 3, 20, 21, 22, 23]
+    assert sorted(r["seq"] for r in got.collect()) == [0, 1, 2, 3, 10, 11, 12, 13]
     assert got.where("event_date = DATE'2024-01-02' AND batch_id = 'one'").count() == 2
-    trail_append(first.where("seq = 0"), path, "two", "at")
     trail_append(first.where("seq = 0"), path, "a/b = c", "at")
-    again = sorted((r["batch_id"], r["seq"]) for r in read_trail(spark, path, schema).collect())
-    assert again == [("a/b = c", 0), ("one", 0), ("one", 1), ("one", 2), ("one", 3), ("two", 0)]
+    trail_append(first.where("seq = 0"), path, "a/b = c", "at")
+    trail_append(first.where("seq > 90"), path, "empty", "at")
+    again = sorted((r["batch_id"], r["seq"]) for r in read_trail(spark, path, schema).where("seq < 4").collect())
+    assert again == [("a/b = c", 0), ("one", 0), ("one", 1), ("one", 2), ("one", 3)]
+
+
+def test_a_lost_append_leaves_nothing_to_read(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    schema = "case_id STRING, seq INT, at TIMESTAMP_NTZ"
+    rows = spark.createDataFrame([("c", i, at) for i in range(40)], schema).repartition(4)
+    broken = rows.withColumn("seq", F.when(F.col("seq") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("seq")))
+    path = str(tmp_path / "trail")
+    trail_append(rows.where("seq = 0"), path, "one", "at")
+    with pytest.raises(Exception, match="lost"):
+        trail_append(broken, path, "two", "at")
+    assert read_trail(spark, path, schema).count() == 1
+    trail_append(rows, path, "two", "at")
+    assert read_trail(spark, path, schema).count() == 41
 
 
 def test_row_digests_tell_shifted_separators_and_nulls_apart(spark):
