@@ -12,6 +12,10 @@ from idscreen.operators.registry import registry_check
 from idscreen.sources.scratch import fresh_dir
 
 
+_REPORTS = "spark.sql.streaming.numRecentProgressUpdates"
+KEPT_REPORTS = 10_000
+
+
 @dataclass(frozen=True)
 class StreamRun:
     batches: int
@@ -31,26 +35,26 @@ def read_events(
 
 def run_once(df: DataFrame, out: str, checkpoint: str, name: str | None = None) -> StreamRun:
     """Process all input there is now into parquet files at `out`, then stop. Tells how many rows came too late."""
+    spark = df.sparkSession
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if name:
         writer = writer.queryName(name)
-    query = writer.trigger(availableNow=True).start(out)
-    # Spark keeps only the latest reports, so they are gathered while the query runs.
-    seen: dict[int, list] = {}
+    # a query keeps the number of reports that holds when it starts; that must be enough for all batches between two looks
+    before = spark.conf.get(_REPORTS, None)
+    spark.conf.set(_REPORTS, str(max(int(before or 0), KEPT_REPORTS)))
+    try:
+        query = writer.trigger(availableNow=True).start(out)
+    finally:
+        spark.conf.unset(_REPORTS) if before is None else spark.conf.set(_REPORTS, before)
+    seen: dict[tuple, object] = {}
 
     def gather() -> None:
-        for p in query.recentProgress:
-            reports = seen.setdefault(p.batchId, [])
-            if all(p.timestamp != r.timestamp for r in reports):
-                reports.append(p)
+        seen.update({(p.batchId, p.timestamp): p for p in query.recentProgress})
 
     while not query.awaitTermination(1):
         gather()
     gather()
-    missing = set(range(min(seen, default=0), max(seen, default=-1) + 1)) - set(seen)
-    if missing:
-        raise RuntimeError(f"no report is left of {len(missing)} batches; raise spark.sql.streaming.numRecentProgressUpdates")
-    progress = [p for reports in seen.values() for p in reports]
+    progress = list(seen.values())
     return StreamRun(
         batches=len(progress),
         rows_in=sum(p.numInputRows for p in progress),
