@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from idscreen.operators import fields, gallery, merkle, registry, report, reuse, score, trail, vectors
+from idscreen.operators import fields, gallery, linkage, merkle, registry, report, reuse, score, sketches, trail, vectors
 from idscreen.plans import flagship
 from idscreen.sources.scratch import fresh_dir
 from idscreen.sources.tables import SCHEMAS, table
@@ -201,6 +201,44 @@ def registry_valid_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_of(spark, sf_dir, valid_to="ends")
 
 
+LINK_FIELDS = ["name", "nation", "segment", "balance"]
+
+
+def _link_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and the same as another source has them: some names, nations, segments and balances differ or are missing."""
+    people = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.col("c_name").alias("name"),
+        F.col("c_nationkey").alias("nation"),
+        F.col("c_mktsegment").alias("segment"),
+        F.floor(F.col("c_acctbal") / 100).cast("bigint").alias("balance"),
+    )
+    key = F.col("c_custkey")
+    other = people.select(
+        "c_custkey",
+        F.when(key % 11 > 0, F.col("name")).alias("name"),
+        F.when(key % 5 == 0, (F.col("nation") + 1) % 25).otherwise(F.col("nation")).cast("int").alias("nation"),
+        F.when(key % 7 == 0, "OTHER").otherwise(F.col("segment")).alias("segment"),
+        F.when(key % 13 == 0, F.col("balance") + 1).otherwise(F.col("balance")).alias("balance"),
+    )
+    return people, other
+
+
+@query
+def agreement_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = linkage.agreement_patterns(*_link_sides(spark, sf_dir), LINK_FIELDS)
+    return counted.select(F.col("pattern").cast("bigint").alias("pattern"), F.col("pairs").cast("bigint").alias("pairs"))
+
+
+@query
+def linked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a weight that needs the name, or nation, segment and balance together."""
+    left, right = _link_sides(spark, sf_dir)
+    weights = linkage.weights_of(left, right, LINK_FIELDS)
+    links = linkage.linked_records(left, right, "c_custkey", "c_custkey", weights, weights.of(0b1110))
+    return links.select("left_id", "right_id", F.col("pattern").cast("bigint").alias("pattern"))
+
+
 # Reuse of content
 
 
@@ -432,6 +470,32 @@ def stage_times_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.stage_times(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "event_id", method="approx")
 
 
+@query
+def stored_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from sketches of single days; whether each lies within the bound of its rank, held against all rows."""
+    events = table(spark, sf_dir, "events")
+    stored = sketches.value_sketches(events, ["event_type"], "ts", "value")
+    found = sketches.merged_quantiles(stored, ["event_type"], [0.05, 0.5, 0.95])
+    bound = sketches.rank_error()
+    ranked = found.join(events.select("event_type", "value"), "event_type").groupBy("event_type", "share", "n").agg(
+        F.avg((F.col("value") < F.col("estimate")).cast("double")).alias("_below"),
+        F.avg((F.col("value") <= F.col("estimate")).cast("double")).alias("_upto"),
+    )
+    near = (F.col("_below") - bound <= F.col("share")) & (F.col("share") <= F.col("_upto") + bound)
+    return ranked.select("event_type", "share", "n", near.alias("within_bound"))
+
+
+@query
+def stored_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct persons from sketches of single days, held against the exact number."""
+    orders = table(spark, sf_dir, "orders")
+    stored = sketches.person_sketches(orders, ["o_orderpriority"], "o_orderdate", "o_custkey")
+    exact = orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("persons"))
+    about = sketches.distinct_persons(stored, ["o_orderpriority"]).select("o_orderpriority", F.col("persons").alias("_about"))
+    near = F.abs(F.col("_about") - F.col("persons")) <= F.lit(sketches.count_error()) * F.col("persons")
+    return exact.join(about, "o_orderpriority").select("o_orderpriority", "persons", near.alias("within_bound"))
+
+
 @query
 def volume_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.volume_trend(table(spark, sf_dir, "events"), "ts", "day", 7)

@@ -193,6 +193,23 @@ SELECT event_id, user_id, ts, CASE WHEN ends > ts THEN version_from END AS versi
 FROM found
 """
 
+_SIDES = """
+a AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment,
+             floor(c_acctbal / 100)::BIGINT AS balance FROM customer),
+b AS (SELECT id, CASE WHEN id % 11 > 0 THEN name END AS name, CASE WHEN id % 5 = 0 THEN (nation + 1) % 25 ELSE nation END AS nation,
+             CASE WHEN id % 7 = 0 THEN 'OTHER' ELSE segment END AS segment,
+             CASE WHEN id % 13 = 0 THEN balance + 1 ELSE balance END AS balance FROM a),
+pairs AS (SELECT a.id AS left_id, b.id AS right_id,
+                 (coalesce(a.name = b.name, false)::INT + 2 * (a.nation = b.nation)::INT + 4 * (a.segment = b.segment)::INT
+                  + 8 * (a.balance = b.balance)::INT)::BIGINT AS pattern FROM a, b)
+"""
+
+SQL["agreement_patterns"] = f"""
+WITH {_SIDES}
+SELECT p AS pattern, coalesce(n, 0) AS pairs FROM range(16) AS every(p)
+LEFT JOIN (SELECT pattern, count(*) AS n FROM pairs GROUP BY 1) ON p = pattern
+"""
+
 SQL["exact_reuse"] = """
 SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS n_rows, count(DISTINCT source) AS n_identities
 FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1
@@ -437,6 +454,15 @@ SELECT from_stage, to_stage, count(*) AS steps, round(quantile_cont(seconds, 0.5
 FROM s WHERE seconds IS NOT NULL GROUP BY ALL
 """
 
+SQL["stored_quantiles"] = """
+SELECT event_type, share, count(value) AS n, true AS within_bound
+FROM events, (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) AS asked(share) GROUP BY ALL
+"""
+
+SQL["stored_persons"] = """
+SELECT o_orderpriority, count(DISTINCT o_custkey) AS persons, true AS within_bound FROM orders GROUP BY 1
+"""
+
 SQL["volume_trend"] = """
 WITH c AS (SELECT date_trunc('day', ts) AS period, count(*) AS events FROM events GROUP BY 1)
 SELECT CAST(period AS TIMESTAMP) AS period, events, CAST(sum(events) OVER (ORDER BY period) AS BIGINT) AS running_total,
