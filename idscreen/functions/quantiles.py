@@ -2,7 +2,8 @@
 
 Equal values are first folded into counts. Values are then spread over buckets that never fall as the value
 rises; running totals are taken over the buckets (a few hundred thousand at most, whatever the data) and only
-then inside each bucket.
+then inside each bucket. Buckets follow the logarithm of the value, so values of a narrow relative range fall into
+few of them, and each is sorted in one task.
 """
 
 from __future__ import annotations
