@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from idscreen.llm.shared import WordHashes, binary_values, materialise, mixed
+from idscreen.llm.shared import binary_values, materialise, mixed
 
 SUPPORT = 30
 LONGEST = 4
@@ -32,7 +33,7 @@ TOP = 2_000
 ABSORBED_PERCENT = 80
 SHARDS = 4
 FILTER_BITS = 27  # a bitmap of 16 MB
-FOLD_WORDS = 4_000_000
+FOLD_BYTES = 24 << 20
 SLICE_BYTES = 1 << 20
 
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -41,60 +42,55 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_UPPER + _ENDS + b"\t", _LOWER + b"." * len(_ENDS) + b" ")
 
 
-def tokens(text: bytes, slice_bytes: int = SLICE_BYTES) -> Iterator[list[bytes]]:
-    """Words of a text and a full stop for every end of a piece, a slice of whole words at a time."""
-    text = text.translate(_TABLE)
+def parts(text: bytes, slice_bytes: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text as words and full stops between spaces, a slice of whole words at a time. It begins with a full stop."""
+    text = b". " + text.translate(_TABLE)
     begin = 0
     while begin < len(text):
         end = begin + slice_bytes
         if end < len(text):
             end = text.find(b" ", end)
             end = len(text) if end < 0 else end
-        yield text[begin:end].replace(b".", b" . ").split()
+        part = text[begin:end].replace(b".", b" . ").strip(b" ")
+        if part:
+            yield part
         begin = end
 
 
-class Numbers(dict):
-    """Numbers of words in the order they come; 0 is the end of a piece."""
-
-    def __init__(self) -> None:
-        super().__init__({b".": 0})
-        self.words = [b"."]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.words.append(word)
-        return number
-
-
 class Folder:
-    """Gathers the words of texts by a key (language, shard) until there are `limit`, then hands them out."""
+    """Gathers texts by a key (language, shard) until there are `limit` bytes, then numbers their words and hands them out."""
 
     def __init__(self, limit: int) -> None:
         self._limit = limit
         self._clear()
 
     def _clear(self) -> None:
-        self._parts: dict[tuple, list[np.ndarray]] = {}
-        self._numbers = Numbers()
+        self._parts: dict[tuple, list[bytes]] = {}
         self._size = 0
 
-    def add(self, key: tuple, text: bytes) -> Iterator[tuple[tuple, np.ndarray, Numbers]]:
-        parts = self._parts.setdefault(key, [])
-        for words in tokens(text):
-            parts.append(np.fromiter(map(self._numbers.__getitem__, words), np.int64, len(words)))
-            self._size += len(words)
-        parts.append(np.zeros(1, np.int64))
+    def add(self, key: tuple, text: bytes) -> Iterator[tuple[tuple, np.ndarray, pa.Array]]:
+        held = self._parts.setdefault(key, [])
+        for part in parts(text):
+            held.append(part)
+            self._size += len(part)
         if self._size >= self._limit:
             yield from self.rest()
 
-    def rest(self) -> Iterator[tuple[tuple, np.ndarray, Numbers]]:
-        """(key, numbers of the words in order, what the numbers mean) of everything gathered so far."""
-        for key, parts in self._parts.items():
-            yield key, np.concatenate(parts), self._numbers
+    def rest(self) -> Iterator[tuple[tuple, np.ndarray, pa.Array]]:
+        """(key, numbers of the words in order, the words by number) of everything gathered so far. Words are numbered as they
+        come, and a text begins with a full stop, so number 0 is the end of a piece."""
+        for key, held in self._parts.items():
+            split = pc.ascii_split_whitespace(pa.array(held, pa.binary()).cast(pa.string()))
+            words = split.flatten().dictionary_encode()
+            yield key, words.indices.to_numpy().astype(np.int64), words.dictionary
         self._clear()
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    spelled = words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, spelled), np.uint64, len(spelled))
+
+
 class Grams:
     """Hashes of the phrases of a word sequence, by length, and where phrases are that pass a bitmap of shorter ones."""
 
@@ -126,19 +122,16 @@ def _narrow(docs: DataFrame, lang: str, text: str, shard: Column) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), shard.alias("shard"), F.col(text).alias("text"))
 
 
-def _mined(narrow: DataFrame, lengths: tuple[int, ...], shard_support: int, bitmap, fold_words: int) -> DataFrame:
+def _mined(narrow: DataFrame, lengths: tuple[int, ...], shard_support: int, bitmap, fold_bytes: int) -> DataFrame:
     """(gram): hashes of the phrases of these lengths that reach the lowered support in one shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, known = Folder(fold_words), WordHashes()
+        folder = Folder(fold_bytes)
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
 
-        def folded(parts) -> Iterator[pa.RecordBatch]:
-            hashes = at = None
-            for (language, shard), ids, numbers in parts:
-                if at is not numbers:
-                    hashes, at = known.of(numbers.words), numbers
-                grams, found = Grams(ids, hashes, language, bits), []
+        def folded(gathered) -> Iterator[pa.RecordBatch]:
+            for (language, shard), ids, words in gathered:
+                grams, found = Grams(ids, _hashes(words), language, bits), []
                 for length in range(2, max(lengths) + 1):
                     if len(ids) < length:
                         break
@@ -185,18 +178,16 @@ def bitmap_of(grams: DataFrame, bits: int) -> bytes:
     return whole.tobytes()
 
 
-def _counted(narrow: DataFrame, longest: int, bitmap, fold_words: int) -> DataFrame:
+def _counted(narrow: DataFrame, longest: int, bitmap, fold_bytes: int) -> DataFrame:
     """(lang, length, phrase, n): exact counts of all words, of all phrases that pass the bitmap, and of nothing (length 0:
     how many words there are)."""
 
-    def spelled(ids: np.ndarray, language: str, numbers: Numbers, hashes: np.ndarray, bits: np.ndarray):
-        words, size = numbers.words, len(numbers.words)
+    def spelled(ids: np.ndarray, language: str, words: pa.Array, bits: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+        size = len(words)
         n = np.bincount(ids, minlength=size)
-        yield 0, [b""], np.array([len(ids) - n[0]])
-        used = np.flatnonzero(n)
-        used = used[used > 0]
-        yield 1, [words[k] for k in used], n[used]
-        grams, rank = Grams(ids, hashes, language, bits), ids
+        yield 0, pa.array([""]), np.array([len(ids) - n[0]])
+        yield 1, words.slice(1), n[1:]
+        grams, rank = Grams(ids, _hashes(words), language, bits), ids
         for length in range(2, longest + 1):
             if len(ids) < length:
                 return
@@ -208,28 +199,20 @@ def _counted(narrow: DataFrame, longest: int, bitmap, fold_words: int) -> DataFr
             _, first, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             rank = np.full(len(grams.hit), -1)
             rank[at] = inverse
-            yield length, [b" ".join([words[k] for k in ids[p : p + length]]) for p in at[first]], n
+            yield length, pc.binary_join_element_wise(*[words.take(pa.array(ids[at[first] + k])) for k in range(length)], " "), n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, known = Folder(fold_words), WordHashes()
+        folder = Folder(fold_bytes)
         bits = np.frombuffer(bitmap.value, np.uint8)
 
-        def folded(parts) -> Iterator[pa.RecordBatch]:
-            hashes = at = None
-            for (language, _), ids, numbers in parts:
-                if at is not numbers:
-                    hashes, at = known.of(numbers.words), numbers
-                for length, phrases, n in spelled(ids, language, numbers, hashes, bits):
+        def folded(gathered) -> Iterator[pa.RecordBatch]:
+            for (language, _), ids, words in gathered:
+                for length, phrases, n in spelled(ids, language, words, bits):
                     for k in range(0, len(phrases), 50_000):
-                        part = phrases[k : k + 50_000]
+                        part = phrases.slice(k, 50_000)
+                        columns = [pa.array([language] * len(part), pa.string()), pa.array(np.full(len(part), length, np.int32))]
                         yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([language] * len(part), pa.string()),
-                                pa.array(np.full(len(part), length, np.int32)),
-                                pa.array(part, pa.binary()).cast(pa.string()),
-                                pa.array(n[k : k + 50_000].astype(np.int64)),
-                            ],
-                            names=["lang", "length", "phrase", "n"],
+                            [*columns, part, pa.array(n[k : k + 50_000].astype(np.int64))], names=["lang", "length", "phrase", "n"]
                         )
 
         for batch in batches:
@@ -249,7 +232,7 @@ def phrase_counts(
     longest: int = LONGEST,
     shards: int = SHARDS,
     filter_bits: int = FILTER_BITS,
-    fold_words: int = FOLD_WORDS,
+    fold_bytes: int = FOLD_BYTES,
 ) -> DataFrame:
     """(lang, length, phrase, n): phrases of 1 to `longest` words that occur `support` times or more in a language, and
     under length 0 how many words the language has."""
@@ -257,14 +240,14 @@ def phrase_counts(
     dealt = F.pmod(F.xxhash64(F.col(text)), F.lit(shards)).cast("int")
     narrow = _narrow(docs, lang, text, dealt)
     local = -(-support // shards)
-    pairs = materialise(_mined(narrow, (2,), local, None, fold_words), "frequent-pairs")
+    pairs = materialise(_mined(narrow, (2,), local, None, fold_bytes), "frequent-pairs")
     grams, shared = pairs, None
     if longest > 2:
         shared = spark.sparkContext.broadcast(bitmap_of(pairs, filter_bits))
-        more = _mined(narrow, tuple(range(3, longest + 1)), local, shared, fold_words)
+        more = _mined(narrow, tuple(range(3, longest + 1)), local, shared, fold_bytes)
         grams = pairs.unionByName(materialise(more, "frequent-phrases"))
     every = spark.sparkContext.broadcast(bitmap_of(grams, filter_bits))
-    counts = _counted(_narrow(docs, lang, text, F.lit(0)), longest, every, fold_words)
+    counts = _counted(_narrow(docs, lang, text, F.lit(0)), longest, every, fold_bytes)
     kept = materialise(counts.where((F.col("n") >= support) | (F.col("length") == 0)), "phrase-counts")
     for used in (shared, every):
         if used is not None:
@@ -286,14 +269,14 @@ def collocations(
     absorbed_percent: int = ABSORBED_PERCENT,
     shards: int = SHARDS,
     filter_bits: int = FILTER_BITS,
-    fold_words: int = FOLD_WORDS,
+    fold_bytes: int = FOLD_BYTES,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of every language.
 
     A candidate of `length` words is cut after its first k words; l and r count the two parts, which are frequent because the
     candidate is, so they are in the same table. Products are decimals of 28 digits.
     """
-    counts = phrase_counts(docs, lang, text, support, longest, shards, filter_bits, fold_words)
+    counts = phrase_counts(docs, lang, text, support, longest, shards, filter_bits, fold_bytes)
     phrases = counts.where("length >= 2").select("lang", "length", "phrase", F.col("n").alias("a"))
     shorter = counts.where((F.col("length") >= 1) & (F.col("length") < longest)).select("lang", "phrase", "n")
     cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("length") - 1)).alias("k")).select(

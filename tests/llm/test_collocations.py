@@ -56,7 +56,7 @@ def _rows():
 
 
 @pytest.mark.parametrize(
-    "options", [{}, {"shards": 1}, {"shards": 7, "fold_words": 200, "filter_bits": 12}, {"support": 31, "top": 3}]
+    "options", [{}, {"shards": 1}, {"shards": 7, "fold_bytes": 1_000, "filter_bits": 12}, {"support": 31, "top": 3}]
 )
 def test_against_brute_force(spark, options):
     rows = _rows()
@@ -74,9 +74,10 @@ def test_nothing(spark):
 
 def test_long_texts_are_cut_between_words():
     text = b"ab cd. ef,gh\tij " * 500 + b"x" * 300
-    whole = [w for part in collocations.tokens(text) for w in part]
-    assert [w for part in collocations.tokens(text, 64) for w in part] == whole
-    assert whole[:7] == [b"ab", b"cd", b".", b"ef", b".", b"gh", b"ij"]
+    whole = [w for part in collocations.parts(text) for w in part.split()]
+    assert [w for part in collocations.parts(text, 64) for w in part.split()] == whole
+    assert whole[:8] == [b".", b"ab", b"cd", b".", b"ef", b".", b"gh", b"ij"]
+    assert list(collocations.parts(b"")) == [b"."]
 
 
 def test_scores_need_more_than_64_bits(spark):
