@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import StructField
 
 from idscreen.llm.shared import free_name, keep_one, materialise
 
 BUCKETS = 64
 HOT_ROWS = 1_000
 HOT_SHARE = 10_000
+_MARK = "_buckets-"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,20 +36,38 @@ def _folded(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _append(rows: DataFrame, index: str, buckets: int) -> None:
+def _append(rows: DataFrame, index: str) -> None:
+    spark = rows.sparkSession
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {index}").where("col_name = 'Num Buckets'").first()["data_type"])
     placed = rows.repartition(buckets, "digest")
     placed.write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").mode("append").saveAsTable(index)
 
 
+def index_folder(spark: SparkSession, index: str) -> str:
+    """Where an index of this name has its files: a folder of the warehouse, which all sessions and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{index}"
+
+
 def open_index(spark: SparkSession, index: str, id_type: StructField, buckets: int = BUCKETS) -> DataFrame:
-    """The index table (digest, keep_id, batch_id), made empty when it is not there yet."""
+    """The index table (digest, keep_id, batch_id), made empty when there is none yet.
+
+    The files are the index; a session whose catalog does not know them, because another session made them, declares the table over
+    them again. How many buckets they have is in the name of an empty file beside them, which readers pass over.
+    """
     if not spark.catalog.tableExists(index):
-        fields = [
-            StructField("digest", BinaryType()),
-            StructField("keep_id", id_type.dataType),
-            StructField("batch_id", StringType()),
-        ]
-        _append(spark.createDataFrame([], StructType(fields)), index, buckets)
+        folder = index_folder(spark, index)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+        marks = [name for name in there if name.startswith(_MARK)]
+        if marks:
+            buckets = int(marks[0].removeprefix(_MARK))
+        else:
+            files.create(spark._jvm.org.apache.hadoop.fs.Path(path, f"{_MARK}{buckets}"), True).close()
+        spark.sql(
+            f"CREATE TABLE {index} (digest BINARY, keep_id {id_type.dataType.simpleString()}, batch_id STRING) USING parquet"
+            f" CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'"
+        )
     return spark.table(index)
 
 
@@ -67,7 +86,7 @@ def add_batch(
     known = open_index(spark, index, rows.schema["doc_id"], buckets)
     texts = rows.groupBy("digest").agg(F.max("doc_id").alias("last_id"), F.sum("n").alias("group_size"))
     unseen = texts.join(known.select("digest").hint("merge"), "digest", "left_anti")
-    _append(unseen.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch_id).alias("batch_id")), index, buckets)
+    _append(unseen.select("digest", F.col("last_id").alias("keep_id"), F.lit(batch_id).alias("batch_id")), index)
     spark.catalog.refreshTable(index)
     entered = texts.join(spark.table(index).hint("merge"), "digest").select(
         "digest", "keep_id", "group_size", (F.col("batch_id") == batch_id).alias("is_new")

@@ -105,6 +105,33 @@ def test_exact_dedup_remembers_earlier_batches(spark, docs):
     assert spark.table(index).count() == n + exact_dedup.keep_new(more, index, "b2").count()
 
 
+_OTHER_SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from idscreen.llm import exact_dedup
+warehouse, index, batch = sys.argv[1:4]
+spark = SparkSession.builder.master("local[2]").config("spark.sql.warehouse.dir", warehouse).config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(20)] + [(90, batch)], "doc_id bigint, text string")
+print("kept", sorted(r.doc_id for r in exact_dedup.keep_new(docs, index, batch, buckets=4).collect()), spark.table(index).count())
+"""
+
+
+def test_exact_dedup_index_outlives_its_session(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    told = []
+    for batch in ("b1", "b2", "b1"):
+        args = [sys.executable, "-c", _OTHER_SESSION, str(tmp_path / "warehouse"), "lasting", batch]
+        done = subprocess.run(args, cwd=tmp_path, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True)
+        assert done.returncode == 0, done.stderr[-2_000:]
+        told.append(done.stdout.strip().splitlines()[-1])
+    first = "kept [13, 14, 15, 16, 17, 18, 19, 90] 8"
+    assert told == [first, "kept [90] 9", first.replace("] 8", "] 9")]
+
+
 @pytest.mark.parametrize("chunk,overlap", [(16_384, 512), (64, 16), (20, 8)])
 def test_byte_bpe_equals_the_library_and_comes_back(docs, none, chunk, overlap):
     import tiktoken
@@ -295,6 +322,32 @@ def test_word_ids_equal_the_library():
         assert words.of(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_are_given_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_orc.drops_blanks(WORD_BPE) and not token_orc.drops_blanks(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    texts = ["Two  words.", None, "", " lead\n\n", "Über <|endoftext|>"]
+    want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert token_orc.WordIds(path).lists(pa.array(texts, pa.string()), 7).to_pylist() == want
+
+
+def test_word_lists_of_many_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    tokenizer.encode_special_tokens = True
+    texts = [t for _, t in _texts()] + ["ĲSSEL ǅungla ŉ İstanbul ΑΣ. ﬁn", "x" * 5_000, "a\x0bb\x0cc\x1cd\x85e\u2003f"]
+    words = token_orc.WordIds(WORD_BPE, limit=50)
+    for end, tail in ((None, []), (2, [2])):
+        want = [tokenizer.encode(t or "", add_special_tokens=False).ids + tail for t in texts]
+        assert words.lists(pa.array(texts, pa.string()), end).to_pylist() == want
+
+
 def test_quality_rules_counts(docs, none, spark):
     trusted = spark.createDataFrame([(k,) for k in range(0, 40, 2)], "doc_id bigint")
     got = ngram_ratio.quality_rules(docs, trusted, buckets=1 << 10).collect()
