@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from idscreen.functions.quantiles import cumulative
+from idscreen.sources.scratch import shared_dir
 
 DEFAULT_BANDS = [(0.0, 0.4, "clear"), (0.4, 0.7, "review"), (0.7, 1.0, "refer")]
 MISSING = ("skip", "zero", "worst")
@@ -211,7 +212,9 @@ def detection_quality(
     scores: DataFrame, labels: DataFrame, thresholds: DataFrame | Sequence[float], case: str = "case_id"
 ) -> DataFrame:
     """Confusion counts, precision, recall per threshold (score >= threshold is a hit), and rank AUC."""
-    placed = _at_thresholds(_outcomes(scores, labels, case), thresholds, ["pos", "neg"])
+    shared_dir(scores.sparkSession)
+    # written once: the area and the rows both read it
+    placed = _at_thresholds(_outcomes(scores, labels, case), thresholds, ["pos", "neg"]).checkpoint()
     area = F.sum(F.col("pos").cast("decimal(38,1)") * (F.col("below_neg") + F.col("neg") / 2).cast("decimal(38,1)"))
     rows = placed.where("_mark").select(
         F.col("score").alias("threshold"),
