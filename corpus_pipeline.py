@@ -14,8 +14,20 @@ from idscreen.llm.shared import free_name, materialise
 from idscreen.sources.tables import table
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT, BATCH_ROWS = "10000", "500"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python tasks; batches of Spark's default number of rows would hold tens of megabytes of them in
+    every task. A number that the user has set is left alone."""
+    if spark.conf.get(_BATCH, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.3 or more stay; it learns from `labels` and this stage's own documents."""
+    short_batches(spark)
     score = free_name(docs, "score")
     scored = quality_classifier.add_score(docs, quality_weights(spark, docs, sf_dir), "text", score)
     return scored.where(F.col(score) >= KEEP_SCORE).drop(score)
@@ -29,6 +41,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
+    short_batches(spark)
     return bag_minhash.keep_first(docs)
 
 
@@ -39,6 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and their way back to bytes, as digests."""
+    short_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
     return byte_bpe.digests(byte_bpe.decode_documents(encoded, ranks))
