@@ -99,8 +99,7 @@ def fuzzy_matches(
 
     a = folded(left, "left")
     b = folded(left if right is None else right, "right")
-    probes = a.select("*", F.inline(text.segment_probes(F.col("left_value"), max_dist)))
-    segments = b.select("*", F.inline(text.segments(F.col("right_value"), max_dist)))
+    probes, segments = text.segment_probes(a, "left_value", max_dist), text.segments(b, "right_value", max_dist)
     found_by = [*keys, "_length", "_number", "_segment"]
     count = F.count(F.lit(1))
     met = probes.groupBy(*found_by).agg(count.alias("_l")).join(segments.groupBy(*found_by).agg(count.alias("_r")), found_by)
