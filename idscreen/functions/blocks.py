@@ -42,18 +42,25 @@ def meetings(df: DataFrame, bucket: Sequence[str], id_col: str, block_rows: int
 
 def meetings_of_two(
     left: DataFrame, right: DataFrame, bucket: Sequence[str], left_id: str, right_id: str,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, right_rows: int | None = None, few_buckets: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """The same for two sides: every left block of a bucket meets every right block. Adds `_i`, `_j` to both."""
+    """The same for two sides: every left block of a bucket meets every right block. Adds `_i`, `_j` to both.
+
+    `right_rows` is the size of right blocks if it differs. `few_buckets` says that the sizes of all buckets are a small table
+    whatever the input, which is then sent to all tasks.
+    """
     count = F.count(F.lit(1))
     lefts = left.groupBy(*bucket).agg(count.alias("_left_rows"))
     rights = right.groupBy(*bucket).agg(count.alias("_right_rows"))
     sizes = lefts.join(rights, list(bucket))
+    if few_buckets:
+        sizes = F.broadcast(sizes)
+    rows = {"_left_rows": block_rows, "_right_rows": right_rows or block_rows}
     other = {"_left_rows": "_right_rows", "_right_rows": "_left_rows"}
 
     def placed(df: DataFrame, id_col: str, size: str, own: str, opposite: str) -> DataFrame:
-        mine = _with_blocks(df, bucket, id_col, sizes, size, block_rows)
-        theirs = F.ceil(F.col(other[size]) / F.lit(block_rows)).cast("int")
+        mine = _with_blocks(df, bucket, id_col, sizes, size, rows[size])
+        theirs = F.ceil(F.col(other[size]) / F.lit(rows[other[size]])).cast("int")
         return mine.select(
             *df.columns, F.col("_block").alias(own), F.explode(F.sequence(F.lit(0), theirs - 1)).alias(opposite)
         )
