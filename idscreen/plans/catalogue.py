@@ -307,7 +307,7 @@ def match_one_to_many_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_vectors(_faces(spark, sf_dir), "vec_id", "embedding", 0.3)
+    return vectors.near_vectors(_faces(spark, sf_dir), "vec_id", "embedding", 0.3, every_copy=True)
 
 
 @query
